@@ -1,7 +1,9 @@
-"""Connected components by alternating large-star and small-star steps, as joins and aggregates."""
+"""Links between the members of hash buckets, and connected components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,32 @@ def connected_components(pairs: DataFrame) -> DataFrame:
             break
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def bucket_links(keys: DataFrame, sizes: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """keys (key, id), sizes (id, n) -> confirmed pairs (a, b) that connect all that pairs of one key can connect.
+
+    In each bucket all members are first compared with the smallest id, so that a
+    bucket of any size gives one pair a member and none is collected. Members of one
+    bucket that this leaves in different components are then compared with each other
+    where their set sizes allow the threshold. ``prepare`` gets the members of shared
+    buckets (key, id, lead) before the first call of ``confirm``.
+    """
+    shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("high")).where("lead < high").select("key", "lead")
+    members = materialise(keys.join(shared, "key").distinct(), "members")
+    if prepare:
+        prepare(members)
+    star = materialise(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    links = materialise(confirm(star), "links")
+
+    comps = connected_components(links)
+    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    apart = materialise(placed.join(open_keys, "key", "left_semi").join(sizes, "id"), "apart")
+    left = apart.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    right = apart.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    rest = left.join(right, "key").where(f"ca < cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialise(confirm(rest.join(star, ["a", "b"], "left_anti")), "links")
+    for t in (members, star, apart):
+        discard(t)
+    return links.union(more)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import connected_components
+from .components import bucket_links, connected_components
 from .store import discard, materialise, ship
 
 #: 64-bit words of the parity sketch that rules candidates out without their texts.
@@ -125,31 +125,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("id", "i", "x", F.posexplode("b").alias("j", "y"))
         .select(F.xxhash64(F.col("i") * units + F.col("j"), "x", "y").alias("key"), "id")
     )
-    shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("high")).where("lead < high").select("key", "lead")
-    members = materialise(keys.join(shared, "key"), "members")
-
-    star = materialise(_possible(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), reps, percent), "star")
-    wanted = members.select("id").distinct()
-    texts = materialise(src.join(wanted, "id", "left_semi"), "texts")
-    links = materialise(_confirmed(star, texts, shingle, percent), "links")
-
-    # Members of one bucket that are still apart: these, and only these, are compared among themselves.
-    comps = connected_components(links)
-    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    apart = materialise(placed.join(open_keys, "key", "left_semi").join(reps.select("id", "n"), "id"), "apart")
-    left = apart.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = apart.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    rest = left.join(right, "key").where(f"ca < cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialise(_confirmed(_possible(rest.join(star, ["a", "b"], "left_anti"), reps, percent), texts, shingle, percent), "links")
-    for t in (members, texts, apart, star):
-        discard(t)
+    texts: list[DataFrame] = []
+
+    def prepare(members: DataFrame) -> None:
+        texts.append(materialise(src.join(members.select("id").distinct(), "id", "left_semi"), "texts"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return _confirmed(_possible(pairs, reps, percent), texts[0], shingle, percent)
+
+    links = bucket_links(keys, reps.select("id", "n"), percent, confirm, prepare)
+    discard(texts[0])
 
     # Ids that repeat with different texts join the classes of all of them.
     same = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     odd = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("hi")).where("b < hi")
     extra = same.join(odd.select("a"), "a", "left_semi")
-    comps = materialise(connected_components(links.union(more).union(extra)), "components")
+    comps = materialise(connected_components(links.union(extra)), "components")
     ids = member.groupBy("id").agg(F.min("rep").alias("rep"))
     of = ids.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("component"))
     out = feats.select("id", "n").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
