@@ -136,7 +136,8 @@ class Classifier:
         ship(spark)
         trusted = trusted_ids(labels)
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        counts = materialise(count_grams(src.where("text is not null").join(trusted, "doc_id", "left_semi").select("text")), "grams")
+        # One shuffle of the texts at every size: trusted ids grow with the corpus, so they are never broadcast.
+        counts = materialise(count_grams(src.where("text is not null").join(trusted.hint("merge"), "doc_id", "left_semi").select("text")), "grams")
         self.loss = spark.sparkContext.broadcast(-np.log(estimate(counts)).astype(np.float32))
         discard(counts)
         self.scores = materialise(scored(src, self.loss).drop("text"), "scores")
