@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .store import ship
 
 WINDOW, END = 2048, 1
@@ -28,65 +29,116 @@ SHARD_BYTES = 8 << 20
 #: The terms of a seed that its query uses (its heaviest by tf and idf), and how many neighbours one retrieval returns.
 QUERY_TERMS, NEIGHBOURS = 12, 8
 K1, B = 1.2, 0.75
-#: Words whose ids a worker process keeps.
-CACHE = 500_000
+#: Words whose ids a worker process keeps, at some 30 bytes each.
+CACHE = 2_000_000
 
-#: Texts for which lower-casing and splitting here might differ from the tokenizer's own: they are encoded whole.
-_OTHER = regex.compile(r"[\x1c-\x1f\x85\xa0Ā-\U0010ffff]|<\|")
 #: The word pattern of that vocabulary; pieces are encoded independently of each other.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Bytes of texts that are encoded whole, as splitting and lower-casing here might differ from the tokenizer's own: separators other than
+#: ASCII white space, and all beyond U+00FF. 0xC2 leads U+0080 to U+00BF, among which only letters and plain signs can be split like this.
+_ODD = np.zeros(256, dtype=bool)
+_ODD[0x1C:0x20] = _ODD[0xC4:] = True
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 16-bit or 32-bit integers, with a bounded cache of words."""
+    """Token ids of whole texts, with a bounded cache: sorted word hashes, and the ids of each word."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        own = public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer = Tokenizer.from_file(path or own)
         # The split by words is this vocabulary's; any other is used as it is.
-        self.split = path is None or path == public_tokenizers.path("word_bpe_49k.json")
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        cache, pieces, parts = self.cache, set(), {}
-        for w in missing:
-            parts[w] = own = _PIECE.findall(w)
-            pieces.update(x for x in own if x not in cache)
-        new = sorted(pieces)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, dtype=np.uint16).tobytes()
-        for w, own in parts.items():
-            if w not in cache:
-                cache[w] = b"".join([cache[x] for x in own])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
+        self.split = path is None or path == own
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int32)
+        self.flat = np.zeros(0, dtype=np.uint16)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of pieces and how many each has; encoded many at a time, as the last id of each says that it ends a word."""
+        runs = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        flat, count = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.uint16)
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(run):
+                each = [np.array(x.ids, dtype=np.uint16) for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+                ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            count.append(np.diff(stops, prepend=0))
+        return np.concatenate(flat), np.concatenate(count)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Adds words, given by ascending hashes and as text."""
+        number: dict[str, int] = {}
+        owner, piece = [], []
         for i, t in enumerate(texts):
-            if self.split and not _OTHER.search(t):
-                cut.append((i, t.lower().split()))
-            else:
-                whole.append(i)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for at in range(0, len(cut), 256):
-            some = cut[at : at + 256]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            missing = {w for _, ws in some for w in ws if w not in self.cache}
-            if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
-            for i, ws in some:
-                out[i] = np.frombuffer(b"".join(map(get, ws)), dtype=np.uint16).astype(np.uint32)
+            for x in (t,) if t.isalpha() else _PIECE.findall(t):
+                owner.append(i)
+                piece.append(number.setdefault(x, len(number)))
+        flat, size = self._pieces(list(number))
+        begins = np.cumsum(size) - size
+        own = size[piece]
+        stop = np.cumsum(own)
+        ids = flat[np.repeat(begins[piece] - (stop - own), own) + np.arange(int(own.sum()))]
+        count = np.bincount(owner, own, len(texts)).astype(np.int32)
+        begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        starts, ends, first = K.words(data, offsets)
+        h = K.hashes(data, starts, ends)
+        keys, where, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != keys[inside]
+        if fresh.any():
+            if len(self.keys) > CACHE:
+                self._forget()
+                fresh[:] = True
+            new = where[fresh]
+            raw = data.tobytes()
+            self._learn(keys[fresh], [raw[a:b].decode("utf-8").lower() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        count = self.count[at][which].astype(np.int64)
+        stop = np.cumsum(count)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.flat[np.repeat(self.begin[at][which] - (stop - count), count) + np.arange(total)]
+        bounds = np.concatenate(([0], stop))[first]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow column, END appended."""
+        out: list[np.ndarray] = []
+        end = np.array([END], dtype=np.uint32)
+        for i, j, data, offsets in K.text_slices(column):
+            odd = _ODD[data]
+            two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)) | (data[:-1] == 60) & (data[1:] == 124)
+            odd[:-1] |= two
+            seen = np.concatenate(([0], np.cumsum(odd)))[offsets]
+            whole = np.flatnonzero((seen[1:] > seen[:-1]) | (not self.split))
+            ids = self._slice(data, offsets) if not len(whole) else [None] * (j - i)
+            if len(whole):
+                rest = np.setdiff1d(np.arange(j - i), whole)
+                parts = [data[offsets[k] : offsets[k + 1]] for k in rest]
+                if len(rest):
+                    for k, x in zip(rest, self._slice(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))), strict=True):
+                        ids[k] = x
+                texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8") for k in whole]
+                for k, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                    ids[k] = np.array(e.ids, dtype=np.uint32)
+            out.extend(np.concatenate((x.astype(np.uint32), end)) for x in ids)
         return out
 
 
@@ -209,10 +261,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         shard = table.column("shard")[0].as_py()
         order = np.lexsort((np.arange(table.num_rows), table.column("doc_id").fill_null(-(1 << 62)).to_numpy()))
         doc = table.column("doc_id").to_pylist()
-        texts = table.column("text").to_pylist()
-        ids = encoder(tokenizer_path).encode([texts[i] for i in order])
-        del texts
-        ids = [np.append(x, np.uint32(END)) for x in ids]
+        ids = encoder(tokenizer_path).encode(table.column("text"))
+        ids = [ids[i] for i in order]
         lengths = np.array([len(x) for x in ids], dtype=np.int64)
         laid = np.array(chain(lengths, Index(ids), window), dtype=np.int64)
         begins = np.zeros(len(laid) + 1, dtype=np.int64)
