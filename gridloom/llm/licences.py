@@ -24,7 +24,7 @@ from .store import ship
 GRAM = 3
 #: Share of a template's grams that its span must have, and the shift between diagonals that are merged.
 COVERAGE, SHIFT = 0.6, 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose every place counts.
 BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
@@ -75,11 +75,11 @@ def _templates(spark: SparkSession) -> DataFrame:
 def _words(text: Column) -> Column:
     # Beyond A-Z, lower() turns only two characters into ASCII (U+0130, U+212A); translate() would be exact but several times slower.
     safe = F.when(text.rlike("[İK]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
-    return F.regexp_extract_all(safe, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(safe, SEPARATOR), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (array of label, first word, end word, coverage).
+    """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (array of first word, end word, label, coverage).
 
     Null texts count as empty: no words, no places, empty label strings, score 0. Rows
     that repeat, also those that repeat an id with another text or have a null id, get
@@ -88,52 +88,45 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    src = src.select("id", F.xxhash64("text").alias("th"), "text")
-    own = src.select("id", "th", F.regexp_count("text", F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))).cast("long").alias("n_words"))
-
-    placed = src.select("id", "th", _words(F.col("text")).alias("w")).where(F.size("w") >= GRAM)
-    placed = placed.select("id", "th", "w", F.explode(F.sequence(F.lit(0), F.size("w") - GRAM)).alias("pos"))
-    gram = F.concat_ws(" ", *[F.get(F.col("w"), F.col("pos") + i) for i in range(GRAM)])
-    rolled = placed.select("id", "th", "pos", gram.alias("gram")).withColumn("h", F.xxhash64("gram"))
-    # The hash finds, the words themselves decide; array_contains keeps that out of the join's key.
-    hits = rolled.join(F.broadcast(_templates(docs.sparkSession)), "h").where(F.array_contains("grams", F.col("gram")))
-    hits = hits.select("id", "th", "tid", "base", "label", "size", "needs", "must", "pos", (F.col("pos") - F.col("tpos")).alias("diagonal")).dropDuplicates(["id", "th", "tid", "pos", "diagonal"])
-    votes = hits.groupBy("id", "th", "tid", "base", "label", "size", "needs", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("must").alias("must"))
+    # Zipping the list with itself shifted keeps each row to its own words; rows that carried the list would make long texts quadratic.
+    listed = src.select("id", F.xxhash64("text").alias("th"), _words(F.col("text")).alias("w"))
+    shifted = F.arrays_zip(*[(F.col("w") if not i else F.slice("w", F.lit(i + 1), F.size("w"))).alias(f"w{i}") for i in range(GRAM)])
+    zipped = listed.select("id", "th", F.posexplode_outer(shifted).alias("pos", "z"))
+    rolled = zipped.select("id", "th", F.coalesce("pos", F.lit(-1)).alias("pos"), F.col("z.w1").isNull().alias("end"), F.concat_ws(" ", *[F.col(f"z.w{i}") for i in range(GRAM)]).alias("gram"))
+    rolled = rolled.withColumn("hash", F.xxhash64("gram"))
+
+    # The hash finds, the words themselves decide; array_contains keeps that out of the join's key. Each text's last word
+    # stays as well and stands for the text: it has the number of words, and how many rows share id and text.
+    t = F.broadcast(_templates(docs.sparkSession))
+    met = rolled.join(t, (F.col("hash") == t.h) & F.array_contains("grams", F.col("gram")), "left").where("end or tid is not null")
+    hits = met.groupBy("id", "th", "tid", "base", "label", "size", "needs", "must", "pos", (F.col("pos") - F.col("tpos")).alias("diagonal"), F.when(F.col("tid").isNull(), F.col("end")).alias("end"))
+    hits = hits.agg(F.count(F.lit(1)).alias("rows")).repartition("id", "th")  # all that follows is grouped by these two and more
+    votes = hits.groupBy("id", "th", "tid", "base", "label", "size", "needs", "diagonal", "end").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("must").alias("must"), F.max("rows").alias("rows"))
 
     # Base phrases and templates go the same way, so the scan runs once; a phrase's diagonals are never merged.
     of = Window.partitionBy("id", "th", "tid").orderBy("diagonal")  # at most one document's own diagonals
     apart = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(of) > SHIFT), F.lit(True)).cast("int")
-    found = (
+    spans = (
         votes.withColumn("new", apart)
         .withColumn("run", F.sum("new").over(of.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "th", "tid", "base", "label", "size", "needs", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("must").alias("must"))
-        .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("size")))
-        .where(F.when(F.col("base"), F.col("votes") == F.col("size")).otherwise((F.col("coverage") >= COVERAGE) & (F.col("must") | ~F.col("needs")) & (F.col("hi") - F.col("lo") + 1 <= 2 * F.col("size") + GRAM)))
-        .withColumn("end", F.col("hi") + GRAM)
+        .groupBy("id", "th", "tid", "base", "label", "size", "needs", "run", "end")
+        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("must").alias("must"), F.max("rows").alias("rows"))
+        .withColumn("coverage", F.when(F.col("end").isNull(), F.least(F.lit(1.0), F.col("votes") / F.col("size"))))
+        .where(F.col("end") | F.when(F.col("base"), F.col("votes") == F.col("size")).otherwise((F.col("coverage") >= COVERAGE) & (F.col("must") | ~F.col("needs")) & (F.col("hi") - F.col("lo") + 1 <= 2 * F.col("size") + GRAM)))
     )
-    per = found.groupBy("id", "th").agg(
+    per = spans.groupBy("id", "th").agg(
+        F.max(F.when(F.col("end"), F.col("lo") + 1)).cast("long").alias("n_words"),
         F.count(F.when(F.col("base"), 1)).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("lo"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("lo"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("coverage").alias("score"),
-        F.array_sort(F.collect_set(F.struct("lo", "end", "label", "coverage"))).alias("spans"),
-    )
-    per = per.withColumnsRenamed({"id": "i2", "th": "t2"})
-    out = own.join(per, own.id.eqNullSafe(per.i2) & (own.th == per.t2), "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        "first_word",
-        "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
-        F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
-        "spans",
+        F.round(F.coalesce(F.max("coverage"), F.lit(0.0)), 6).alias("score"),
+        F.array_sort(F.collect_set(F.when(F.col("label").isNotNull(), F.struct("lo", (F.col("hi") + GRAM).alias("end"), "label", "coverage")))).alias("spans"),
+        F.max(F.when(F.col("end"), F.col("rows"))).alias("rows"),
     )
+    out = per.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
 def oracle(words: str) -> str:
