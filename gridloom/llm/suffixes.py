@@ -6,8 +6,9 @@ select equal positions, and every passage of LEAST words has one. The retained
 suffixes are sorted by what follows, then by what precedes read backwards; each is
 compared with its neighbours from other documents, and the match is extended left and
 right. Where neighbours give less than LEAST words but a longer match with another
-suffix isn't ruled out, all windows of LEAST words through that position are hashed
-and grouped, which is exact.
+suffix isn't ruled out, windows through that position are hashed and grouped, which is
+exact: first five windows of LEAST - 9 words, one of which any match of LEAST words
+contains, then all windows of LEAST words around those that documents share.
 
 Scale: suffixes whose first words no other document has drop out in an aggregate of
 (hash, id) rows; the rest travel as 3 bytes a word of context. The sort is range
@@ -30,6 +31,10 @@ LEAST, GRAM, SPAN = 50, 8, 40
 #: Words of context after and before a position; a match's first minimiser has fewer than SPAN words before it.
 AFTER, BEFORE = LEAST, SPAN
 CHUNK_ROWS = 200_000
+#: Words between the first windows, which are COARSE - 1 shorter than a match.
+COARSE = 10
+
+_FOUND = "key long, doc long, pos long, l long, r long, partner long, open boolean, after binary, before binary"
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -150,7 +155,7 @@ def _compared(ordered: DataFrame) -> DataFrame:
             beyond = np.setdiff1d(np.arange(n), there)
             reach[beyond] = AFTER
         unsettled = (l + r < LEAST) & (reach >= LEAST - BEFORE)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos), pa.array(l), pa.array(r), pa.array(partner), pa.array(unsettled)], names=["key", "doc", "pos", "l", "r", "partner", "open"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos), pa.array(l), pa.array(r), pa.array(partner), pa.array(unsettled), table["after"].combine_chunks(), table["before"].combine_chunks()], names=["key", "doc", "pos", "l", "r", "partner", "open", "after", "before"])
 
     def run(batches):
         held, rows = [], 0
@@ -163,30 +168,38 @@ def _compared(ordered: DataFrame) -> DataFrame:
         if rows:
             yield chunk(held)
 
-    return ordered.mapInArrow(run, "key long, doc long, pos long, l long, r long, partner long, open boolean")
+    return ordered.mapInArrow(run, _FOUND)
+
 
+def _windows(entries: DataFrame, fine: bool) -> DataFrame:
+    """(doc, pos, open, back, w): hashes of windows that begin ``back`` words before a suffix.
 
-def _windows(entries: DataFrame) -> DataFrame:
-    """(doc, pos, back, w): hash of each window of LEAST words that begins ``back`` words before a suffix and runs through it."""
+    Coarse: LEAST - COARSE + 1 words from every COARSE-th place. Fine: LEAST words from the COARSE places that begin at the row's ``back``.
+    """
+    size = LEAST if fine else LEAST - COARSE + 1
 
     def run(batches):
         for batch in batches:
             after, before = _matrix(batch.column("after"), AFTER), _matrix(batch.column("before"), BEFORE)
             line = np.concatenate((before[:, ::-1], after), axis=1).astype(np.uint64)
-            doc, pos = batch.column("doc").to_numpy(), batch.column("pos").to_numpy()
+            doc, pos, unsettled = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "pos", "open"))
             hashed = np.where(line == 0, 0, K.mix(line))
-            power = K._power("base", K._BASE, line.shape[1])[: line.shape[1]]
-            total = np.zeros((len(line), line.shape[1] + 1), dtype=np.uint64)
-            np.cumsum(hashed * power, axis=1, out=total[:, 1:])
-            whole = np.cumsum(line == 0, axis=1)
-            whole = np.concatenate((np.zeros((len(line), 1), dtype=whole.dtype), whole), axis=1)
-            for back in range(BEFORE + 1):
+            n, width = line.shape
+            total = np.zeros((n, width + 1), dtype=np.uint64)
+            np.cumsum(hashed * K._power("base", K._BASE, width)[:width], axis=1, out=total[:, 1:])
+            beyond = np.concatenate((np.zeros((n, 1), dtype=np.int64), np.cumsum(line == 0, axis=1)), axis=1)
+            at = np.arange(n)
+            for step in range(COARSE) if fine else range(0, BEFORE + 1, COARSE):
+                back = batch.column("back").to_numpy() + step if fine else np.full(n, step)
                 s = BEFORE - back
-                ok = whole[:, s + LEAST] == whole[:, s]
-                w = K.mix((total[:, s + LEAST] - total[:, s]) * K._power("inverse", K._INV, line.shape[1])[s])[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(np.full(len(w), back)), pa.array(w.view(np.int64))], names=["doc", "pos", "back", "w"])
+                ok = s >= 0
+                e = np.maximum(s, 0)
+                ok &= (beyond[at, e + size] == beyond[at, e]) & (e + size <= width)
+                w = K.mix((total[at, e + size] - total[at, e]) * K._power("inverse", K._INV, width)[e])[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(unsettled[ok], pa.bool_()), pa.array(back[ok].astype(np.int64)), pa.array(w.view(np.int64))], names=["doc", "pos", "open", "back", "w"])
 
-    return entries.select("doc", "pos", "after", "before").mapInArrow(run, "doc long, pos long, back long, w long")
+    columns = ["doc", "pos", "open", "after", "before"] + ["back"] * fine
+    return entries.select(*columns).mapInArrow(run, "doc long, pos long, open boolean, back long, w long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,8 +209,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Repeats inside one document and rows that repeat an id don't count; null ids and
     null or shorter texts take no part. A document is here if and only if it has
     such a passage. Spans are the union of the matches with sorted neighbours, to their
-    exact ends; where a third document shares more to the left of a minimiser than the
-    neighbours do, that part may be left out. partners has the documents that the
+    exact ends; where a third document shares some words more on one side of a minimiser
+    than those neighbours do, these may be left out. partners has the documents that the
     matches were confirmed with, at least one for each span.
     """
     spark = docs.sparkSession
@@ -210,9 +223,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = materialise(_contexts(src.join(at, src.id == at.doc).select("id", "text", "at")), "suffixes")
     discard(all_)
     found = materialise(_compared(entries.orderBy("after", "before", "doc", "pos")), "compared")
+    discard(entries)
 
-    rest = entries.join(found.where("open").select("key").distinct(), "key", "left_semi")
-    windows = materialise(_windows(rest), "windows")
+    coarse = _windows(found, False)
+    near = coarse.groupBy("w").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.max("open").alias("any")).where("d0 < d1 and any").select("w")
+    around = coarse.join(near, "w", "left_semi").select("doc", "pos", "back")
+    windows = materialise(_windows(found.join(around, ["doc", "pos"]), True), "windows")
     twice = windows.groupBy("w").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1")
     exact = windows.join(twice, "w").select("doc", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") - F.col("back") + LEAST).alias("end"), F.when(F.col("doc") == F.col("d0"), F.col("d1")).otherwise(F.col("d0")).alias("partner"))
     spans = found.where(f"l + r >= {LEAST}").select("doc", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"), "partner").union(exact)
