@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fixity, langid, licences, neardup, packing, paragraphs, quality, suffixes
+from . import decontam, fixity, langid, licences, neardup, packing, paragraphs, quality, search, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 ORACLE: dict[str, str] = {
     "op2_merkle_fixity": fixity.ORACLE,
     "op3_license_scan": licences.oracle(_WORDS),
+    "op6_exact_topk_search": search.oracle(_WORDS),
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
