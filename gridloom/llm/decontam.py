@@ -185,28 +185,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     Needs columns doc_id and text; rows that repeat a doc_id must repeat its text, as
     they all take the decision of that id. A null doc_id keeps its row and text.
     """
-    got = contamination(docs, benchmark, window=window, share=share).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), "contaminated", "spans").dropDuplicates(["hit_id"])
-    marked = docs.join(got, docs.doc_id == F.col("hit_id"), "left").where("contaminated is null or not contaminated")
+    got = contamination(docs, benchmark, window=window, share=share).where("n_hit > 0").select(F.col("doc_id").alias("_gl_id"), F.col("contaminated").alias("_gl_bad"), F.col("spans").alias("_gl_spans")).dropDuplicates(["_gl_id"])
+    marked = docs.join(got, docs["doc_id"] == F.col("_gl_id"), "left").where("_gl_bad is null or not _gl_bad")
     return cut_spans(marked, docs.columns)
 
 
 def cut_spans(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of df with the byte ranges in ``spans`` cut out of ``text``; rows without spans stay as they are."""
+    """``columns`` of df with the byte ranges in ``_gl_spans`` cut out of ``text``; rows without spans stay as they are."""
     raw = F.encode("text", "utf-8")
     parts = F.aggregate(
-        "spans",
+        "_gl_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<binary>)").alias("got")),
         lambda s, x: F.struct(x.end.alias("at"), F.concat(s.got, F.array(F.substring(raw, (s.at + 1).cast("int"), (x.start - s.at).cast("int")))).alias("got")),
         lambda s: F.concat(s.got, F.array(F.substring(raw, (s.at + 1).cast("int"), F.length(raw)))),
     )
-    text = F.when(F.size("spans") > 0, F.decode(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)), "utf-8")).otherwise(F.col("text"))
-    out = df.withColumn("_text", text)
-    pick = []
-    for c in columns:
-        if c == "text":
-            pick.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            pick.append(F.when(F.size("spans") > 0, F.length("_text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            pick.append(F.col(c))
-    return out.select(*pick)
+    cut = F.size("_gl_spans") > 0
+    text = F.when(cut, F.decode(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)), "utf-8")).otherwise(F.col("text"))
+    pick = {"text": text.alias("text")}
+    if "n_chars" in columns:
+        pick["n_chars"] = F.when(cut, F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return df.select(*[pick.get(c, F.col(f"`{c}`")) for c in columns])

@@ -203,5 +203,5 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of ``text`` (n_chars follows); every row stays. Needs doc_id and text."""
-    gone = removals(docs).select(F.col("doc_id").alias("cut_id"), "spans")
-    return cut_spans(docs.join(gone, docs.doc_id == F.col("cut_id"), "left"), docs.columns)
+    gone = removals(docs).select(F.col("doc_id").alias("_gl_id"), F.col("spans").alias("_gl_spans"))
+    return cut_spans(docs.join(gone, docs["doc_id"] == F.col("_gl_id"), "left"), docs.columns)

@@ -104,7 +104,7 @@ def estimate(counts: DataFrame) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """docs with ``_nll`` (sum of negative log probabilities) and ``_n`` (symbols) added; other columns pass through."""
+    """docs with ``_gl_nll`` (sum of negative log probabilities) and ``_gl_n`` (symbols) added; other columns pass through."""
     at = docs.columns.index(text_col)
     schema = docs.schema
 
@@ -118,9 +118,9 @@ def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 nll.append(total[offsets[1:]] - total[offsets[:-1]])
                 n.append(np.diff(offsets))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cat(nll), pa.float64()), pa.array(cat(n).astype(np.int64))], names=[*batch.schema.names, "_nll", "_n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cat(nll), pa.float64()), pa.array(cat(n).astype(np.int64))], names=[*batch.schema.names, "_gl_nll", "_gl_n"])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_nll", T.DoubleType()), T.StructField("_n", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_gl_nll", T.DoubleType()), T.StructField("_gl_n", T.LongType())]))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ class Classifier:
         discard(counts)
         self.scores = materialise(scored(src, self.loss).drop("text"), "scores")
         good = materialise(self.scores.join(trusted, "doc_id", "left_semi"), "trusted")
-        self.mean = good.agg(F.sum("_nll") / F.sum("_n")).first()[0]
+        self.mean = good.agg(F.sum("_gl_nll") / F.sum("_gl_n")).first()[0]
         self.overall, self.by_lang = None, spark.createDataFrame([], "lang string, own double")
         if self.mean is not None:
             ppl = good.withColumn("perplexity", self.perplexity())
@@ -155,13 +155,13 @@ class Classifier:
     def perplexity(self):
         if self.mean is None:
             return F.lit(None).cast("double")
-        return F.exp((F.col("_nll") + PRIOR * self.mean) / (F.col("_n") + PRIOR))
+        return F.exp((F.col("_gl_nll") + PRIOR * self.mean) / (F.col("_gl_n") + PRIOR))
 
     def judge(self, rows: DataFrame) -> DataFrame:
-        """rows with _nll, _n, lang -> with perplexity, threshold, kept. Without trusted text nothing is rejected."""
-        limits = F.broadcast(self.by_lang.withColumnRenamed("lang", "_lang"))  # at most MOST_LANGS rows
-        out = rows.join(limits, F.col("lang") == F.col("_lang"), "left").withColumn("threshold", F.coalesce("own", F.lit(self.overall).cast("double")))
-        return out.withColumn("perplexity", self.perplexity()).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("own", "_lang")
+        """rows with _gl_nll, _gl_n, lang -> with _gl_perplexity, _gl_threshold, _gl_kept. Without trusted text nothing is rejected."""
+        limits = F.broadcast(self.by_lang.toDF("_gl_lang", "_gl_own"))  # at most MOST_LANGS rows
+        out = rows.join(limits, rows["lang"] == F.col("_gl_lang"), "left").withColumn("_gl_threshold", F.coalesce("_gl_own", F.lit(self.overall).cast("double")))
+        return out.withColumn("_gl_perplexity", self.perplexity()).withColumn("_gl_kept", F.coalesce(F.col("_gl_perplexity") <= F.col("_gl_threshold"), F.lit(True)))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,10 +172,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     null doc_id is scored but never trusted. Rows that repeat are judged alike.
     """
     c = Classifier(docs, labels)
-    return c.judge(c.scores).select("doc_id", "lang", F.col("_n").alias("n_symbols"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return c.judge(c.scores).select("doc_id", "lang", F.col("_gl_n").alias("n_symbols"), F.round("_gl_perplexity", 6).alias("perplexity"), F.round("_gl_threshold", 6).alias("threshold"), F.col("_gl_kept").alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
     c = Classifier(docs, labels)
-    return c.judge(scored(docs, c.loss)).where("kept").select(*docs.columns)
+    return c.judge(scored(docs, c.loss)).where("_gl_kept").select(*[F.col(f"`{x}`") for x in docs.columns])
