@@ -201,7 +201,8 @@ def cut_spans(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     cut = F.size("_gl_spans") > 0
     text = F.when(cut, F.decode(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)), "utf-8")).otherwise(F.col("text"))
-    pick = {"text": text.alias("text")}
+    pick = {"text": F.col("_gl_text").alias("text")}
     if "n_chars" in columns:
-        pick["n_chars"] = F.when(cut, F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return df.select(*[pick.get(c, F.col(f"`{c}`")) for c in columns])
+        pick["n_chars"] = F.when(cut, F.length("_gl_text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    # Named first: two copies of one lambda in an expression would share its variables.
+    return df.withColumn("_gl_text", text).select(*[pick.get(c, F.col(f"`{c}`")) for c in columns])
