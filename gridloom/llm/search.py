@@ -30,7 +30,7 @@ from .store import materialise, ship
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES, BLOCK, QUERIES = 32 << 20, 64, 2048
+SHARD_BYTES, BLOCK, QUERIES = 16 << 20, 64, 1024
 #: Terms of a shard that are held as dense rows: the most frequent ones.
 DENSE = 128
 #: Scores that differ by less are ties, which the smaller id wins.
@@ -49,6 +49,7 @@ def build(docs: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> dict[st
     doc = np.repeat(np.arange(len(length), dtype=np.uint32), length)
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
+    del order, hashes
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
