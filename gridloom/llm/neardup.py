@@ -120,8 +120,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = named.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).select("id", "rep").distinct()
     reps = materialise(named.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "a", "b", "sketch"), "reps")
 
+    # A representative makes units**2 keys: spread over enough tasks that each sorts and aggregates few of them.
+    spread = reps.select("id", "a", "b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     keys = (
-        reps.select("id", "b", F.posexplode("a").alias("i", "x"))
+        spread.select("id", "b", F.posexplode("a").alias("i", "x"))
         .select("id", "i", "x", F.posexplode("b").alias("j", "y"))
         .select(F.xxhash64(F.col("i") * units + F.col("j"), "x", "y").alias("key"), "id")
     )

@@ -61,7 +61,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(batches):
         total, any_ = np.zeros(ALPHABET**ORDER, dtype=np.int64), False
         for batch in batches:
-            for _, _, data, offsets in K.text_slices(batch.column(0)):
+            for _, _, data, offsets in K.text_slices(batch.column(0), 1 << 20):
                 any_ = True
                 total += np.bincount(codes(data, offsets), minlength=len(total))
         if any_:
