@@ -3,10 +3,11 @@
 Documents are spread over shards of about SHARD_BYTES of text. A shard's index is one
 row of a table (term hashes, postings, lengths); documents that look alike stand
 together in it, in blocks of BLOCK. For a query, the postings of its rarer terms are
-added up, the block maxima of its frequent terms bound what a block can still reach,
-and blocks are scored from the highest bound down until no bound reaches the k-th
-score so far: blocks that can't matter are never scored, and nothing else is left
-out. Each query's threshold starts from its k-th score in the first shards searched.
+added up, and the block maxima of its frequent terms bound what a block can still
+reach. Blocks are visited from the highest bounds down, for a group of queries at a
+time, and scored for those queries only whose k-th score so far the bound reaches:
+blocks that can't matter to a query are never scored for it, and nothing else is left
+out. Each query's threshold starts from its k-th score in the first shard.
 
 Scores use global statistics (number of documents, mean length, document
 frequencies), so the shards' top-k merge exactly.
@@ -30,9 +31,11 @@ from .store import materialise, ship
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES, BLOCK, QUERIES = 16 << 20, 64, 1024
+SHARD_BYTES, BLOCK, QUERIES = 16 << 20, 128, 2048
+#: Queries that a shard takes together, and the blocks after which their thresholds rise.
+GROUP, REFRESH = 128, 8
 #: Terms of a shard that are held as dense rows: the most frequent ones.
-DENSE = 128
+DENSE = 512
 #: Scores that differ by less are ties, which the smaller id wins.
 DIGITS = 6
 
@@ -76,7 +79,7 @@ class Shard:
     def __init__(self, row: dict[str, bytes], mean: float):
         self.terms = np.frombuffer(row["terms"], dtype=np.uint64)
         self.begins = np.frombuffer(row["begins"], dtype=np.int64)
-        self.docs = np.frombuffer(row["docs"], dtype=np.uint32).astype(np.int64)
+        self.docs = np.frombuffer(row["docs"], dtype=np.uint32).astype(np.int32)
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         length = np.frombuffer(row["lengths"], dtype=np.int64)
         tf = np.frombuffer(row["tf"], dtype=np.uint32).astype(np.float64)
@@ -94,52 +97,80 @@ class Shard:
             self.dense[d // BLOCK, r, d % BLOCK] = self.impact[span]
         self.block_max = self.dense.max(axis=2) if self.blocks else np.zeros((0, len(common)))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best documents with a score above 0, and not below ``floor``; ties by id."""
-        none = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not self.n or not len(terms) or not len(self.terms):
-            return none
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        here = self.terms[at] == terms
-        at, weights = at[here], weights[here]
-        rows = self.row_of[at]
-        frequent = rows >= 0
-        w = np.zeros(self.dense.shape[1])
-        w[rows[frequent]] = weights[frequent]
-        rare, rw = at[~frequent], weights[~frequent]
+    def search(self, block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best documents of each query with a score above 0 and not below its floor; ties by id."""
+        if not self.n or not len(self.terms) or not len(block.terms):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, block.terms), len(self.terms) - 1)
+        at[self.terms[at] != block.terms] = -1
+        out = []
+        for first in range(0, len(block.ids), GROUP):
+            last = min(first + GROUP, len(block.ids))
+            own = slice(block.begins[first], block.begins[last])
+            q = np.repeat(np.arange(last - first), np.diff(block.begins[first : last + 1]))
+            term, weight = at[block.which[own]], block.weights[own]
+            here = term >= 0
+            out.append(self._group(block.ids[first:last], block.floors[first:last], q[here], term[here], weight[here], k))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _group(self, ids, floors, q, term, weight, k):
+        n, width, slack = len(ids), self.blocks * BLOCK, 10.0**-DIGITS
+        row = self.row_of[term]
+        frequent = row >= 0
+        w = np.zeros((n, self.dense.shape[1]))
+        w[q[frequent], row[frequent]] = weight[frequent]
+        rare, rw, rq = term[~frequent], weight[~frequent], q[~frequent]
         a = self.begins[rare]
         size = self.begins[rare + 1] - a
         stop = np.cumsum(size)
-        score = np.zeros(self.blocks * BLOCK)
-        if len(stop) and stop[-1]:
-            where = np.repeat(a - (stop - size), size) + np.arange(int(stop[-1]))
-            score += np.bincount(self.docs[where], self.impact[where] * np.repeat(rw, size), len(score))
-        score = score.reshape(-1, BLOCK)
-        bound = score.max(axis=1) + self.block_max @ w
-        order = np.argsort(-bound, kind="stable")
-        slack = 10.0**-DIGITS
-        best_s, best_i = np.zeros(0), np.zeros(0, dtype=np.int64)
-        floor, step, done = max(floor - slack, 0.0), 2, 0
-        while done < len(order):
-            some = order[done : done + step]
-            some = some[bound[some] >= floor]
-            if not len(some):
-                break
-            got = (score[some] + np.matmul(w, self.dense[some])).ravel()
-            place = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = np.flatnonzero((got > 0) & (got >= floor))
-            best_s, best_i = np.concatenate((best_s, got[keep])), np.concatenate((best_i, place[keep]))
-            if len(best_s) > k:
-                kth = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
-                floor = max(floor, kth - slack)
-                keep = best_s >= floor
-                best_s, best_i = best_s[keep], best_i[keep]
-            done += step
-            step = min(2 * step, 32)
-        ids = self.ids[best_i]
-        rounded = np.round(best_s, DIGITS)
-        first = np.lexsort((ids, -rounded))[:k]
-        return ids[first], rounded[first]
+        total = int(stop[-1]) if len(stop) else 0
+        where = np.repeat(a - (stop - size), size)
+        where += np.arange(total)
+        cell = np.repeat(rq * width, size)
+        cell += self.docs[where]
+        gain = np.repeat(rw, size)
+        gain *= self.impact[where]
+        score = np.bincount(cell, gain, n * width).reshape(n, self.blocks, BLOCK)
+        bound = score.max(axis=2) + w @ self.block_max.T
+        floor = np.maximum(floors - slack, 0.0)
+        found_q, found_d, found_s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for step, b in enumerate(np.argsort(-bound.sum(axis=0), kind="stable").tolist(), 1):
+            active = np.flatnonzero(bound[:, b] >= floor)
+            if len(active):
+                got = score[active, b] + w[active] @ self.dense[b]
+                i, d = np.nonzero((got >= floor[active, None]) & (got > 0))
+                fresh.append((active[i], d + b * BLOCK, got[i, d]))
+            if fresh and (step % REFRESH == 0 or step == self.blocks):
+                found_q, found_d, found_s = (np.concatenate((x, *y)) for x, y in zip((found_q, found_d, found_s), zip(*fresh, strict=True), strict=True))
+                fresh = []
+                order = np.lexsort((-found_s, found_q))
+                found_q, found_d, found_s = found_q[order], found_d[order], found_s[order]
+                begin = np.searchsorted(found_q, np.arange(n + 1))
+                full = np.flatnonzero(np.diff(begin) >= k)
+                floor[full] = np.maximum(floor[full], found_s[begin[full] + k - 1] - slack)
+                keep = found_s >= floor[found_q]
+                found_q, found_d, found_s = found_q[keep], found_d[keep], found_s[keep]
+        doc, rounded = self.ids[found_d], np.round(found_s, DIGITS)
+        order = np.lexsort((doc, -rounded, found_q))
+        found_q, doc, rounded = found_q[order], doc[order], rounded[order]
+        rank = np.arange(len(found_q)) - np.searchsorted(found_q, found_q)
+        top = rank < k
+        return ids[found_q[top]], doc[top], rounded[top]
+
+
+class Block:
+    """Queries that are sent to all shards together: distinct terms once, and each query's terms by number."""
+
+    def __init__(self, queries: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.ids = np.array([x[0] for x in queries], dtype=np.int64)
+        self.begins = np.concatenate(([0], np.cumsum([len(x[1]) for x in queries]))).astype(np.int64)
+        terms = np.concatenate([x[1] for x in queries]) if queries else np.zeros(0, dtype=np.uint64)
+        self.terms, which = np.unique(terms, return_inverse=True)
+        self.which = which.astype(np.int32)
+        self.weights = np.concatenate([x[2] for x in queries]) if queries else np.zeros(0)
+        self.floors = np.zeros(len(queries))
 
 
 _INDEX = "shard long, terms binary, begins binary, docs binary, tf binary, ids binary, lengths binary"
@@ -193,14 +224,8 @@ def _searched(shards: DataFrame, block, mean: float, k: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard({c: batch.column(j)[row].as_buffer() for j, c in enumerate(batch.schema.names) if c != "shard"}, mean)
-                q, d, s = [], [], []
-                for qid, terms, weights, floor in queries:
-                    ids, scores = shard.search(terms, weights, k, floor)
-                    q.append(np.full(len(ids), qid, dtype=np.int64))
-                    d.append(ids)
-                    s.append(scores)
-                if q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(d)), pa.array(np.concatenate(s))], names=["query_id", "doc_id", "score"])
+                q, d, s = shard.search(queries, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "score"])
 
     return shards.mapInArrow(run, "query_id long, doc_id long, score double")
 
@@ -235,23 +260,21 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_
     ready = materialise(ready.select("qid", "tw.term", "tw.weight"), "queries")
     results: list[DataFrame] = []
 
-    def search(block: list) -> None:
-        first = shards.where("shard = 0")
-        opening = _searched(first, spark.sparkContext.broadcast(block), mean, k)
+    def search(queries: list) -> None:
+        block = Block(queries)
+        opening = _searched(shards.where("shard = 0"), spark.sparkContext.broadcast(block), mean, k)
         kth = {r.query_id: r.floor for r in opening.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect()}
-        primed = [(q, t, w, kth.get(q, 0.0)) for q, t, w, _ in block]
-        results.append(materialise(_searched(shards, spark.sparkContext.broadcast(primed), mean, k), "found"))
+        block.floors = np.array([kth.get(q, 0.0) for q in block.ids.tolist()])
+        results.append(materialise(_searched(shards, spark.sparkContext.broadcast(block), mean, k), "found"))
 
-    block: list = []
+    held: list = []
     for r in ready.toLocalIterator():  # streams the queries; one block of them is held
-        t = np.array(r.term, dtype=np.int64).view(np.uint64)
-        order = np.argsort(t)
-        block.append((r.qid, t[order], np.array(r.weight)[order], 0.0))
-        if len(block) >= QUERIES:
-            search(block)
-            block = []
-    if block or not results:
-        search(block)
+        held.append((r.qid, np.array(r.term, dtype=np.int64).view(np.uint64), np.array(r.weight)))
+        if len(held) >= QUERIES:
+            search(held)
+            held = []
+    if held or not results:
+        search(held)
     found = results[0]
     for x in results[1:]:
         found = found.union(x)
