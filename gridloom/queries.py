@@ -262,10 +262,10 @@ def fill_densify(spark, d):
     return fixed(S.densify(S.box(x, s, [(0, 5), (0, 20), (0, 5)]), (5, 20, 5), 0.0))
 
 
-@query(f"SELECT d1, d2, round(sum(value) / 31, 4) AS mean FROM {CUBE} GROUP BY ALL")
+@query(f"SELECT d1, d2, round(sum(value) / 31, 6) AS mean FROM {CUBE} GROUP BY ALL")
 def sparse_mean_with_fill(spark, d):
     x, s = cube(spark, d)
-    return fixed(A.mean_over(x, s, 0), "mean")
+    return fixed(A.mean_over(x, s, 0), "mean", digits=6)
 
 
 @query(f"SELECT round(sum(value) + 1.5 * (size - count(*)), 2) AS sum, round((sum(value) + 1.5 * (size - count(*))) / size, 4) AS mean, count(*) AS stored FROM {CUBE}, (SELECT 31 * (max(user_id) + 1) * 5 AS size FROM events) GROUP BY size")
@@ -421,9 +421,9 @@ def temporal_mean(spark, d):
     return fixed(A.mean_over(x, s, 0, densify=False), "mean", digits=6)
 
 
-@query(f"SELECT d1 % 5 AS zone, round(avg(value), 4) AS mean, count(*) AS pixels FROM {CUBE} GROUP BY ALL")
+@query(f"SELECT d1 % 5 AS zone, round(avg(value), 6) AS mean, count(*) AS pixels FROM {CUBE} GROUP BY ALL")
 def zonal_mean(spark, d):
-    return fixed(A.zonal_mean(V.cube(spark, d), V.zones(spark, d), ["d1"]), "mean")
+    return fixed(A.zonal_mean(V.cube(spark, d), V.zones(spark, d), ["d1"]), "mean", digits=6)
 
 
 @query(f"SELECT d0, d1, round(CASE WHEN a + b = 0 THEN 0 ELSE (a - b) / (a + b) END, 4) AS index FROM (SELECT d0, d1, coalesce(max(value) FILTER (d2 = 4), 0) AS a, coalesce(max(value) FILTER (d2 = 0), 0) AS b FROM {CUBE} WHERE d2 IN (0, 4) GROUP BY ALL)")
@@ -431,16 +431,16 @@ def ndvi_pair(spark, d):
     return fixed(A.band_difference(V.cube(spark, d), "d2", 4, 0, ["d0", "d1"]), "index")
 
 
-@query(f"SELECT d2, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS greatest, round(stddev_pop(value), 4) AS deviation, count(*) AS n FROM {CUBE} WHERE d0 < 15 AND d1 BETWEEN 20 AND 79 GROUP BY ALL")
+@query(f"SELECT d2, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest, round(stddev_pop(value), 6) AS deviation, count(*) AS n FROM {CUBE} WHERE d0 < 15 AND d1 BETWEEN 20 AND 79 GROUP BY ALL")
 def region_stats(spark, d):
     x, s = cube(spark, d)
-    return fixed(A.describe(S.box(x, s, [(0, 15), (20, 80), (0, 5)]), "d2"), "mean", "least", "greatest", "deviation")
+    return fixed(A.describe(S.box(x, s, [(0, 15), (20, 80), (0, 5)]), "d2"), "mean", "least", "greatest", "deviation", digits=6)
 
 
-@query("SELECT month(o_orderdate) AS month, round(avg(o_totalprice), 4) AS mean, round(min(o_totalprice), 4) AS least, round(max(o_totalprice), 4) AS greatest, round(stddev_pop(o_totalprice), 4) AS deviation, count(*) AS n FROM orders GROUP BY ALL")
+@query("SELECT month(o_orderdate) AS month, round(avg(o_totalprice), 6) AS mean, round(min(o_totalprice), 6) AS least, round(max(o_totalprice), 6) AS greatest, round(stddev_pop(o_totalprice), 6) AS deviation, count(*) AS n FROM orders GROUP BY ALL")
 def monthly_stats(spark, d):
     x = V.table(spark, d, "orders").select(F.month("o_orderdate").cast("long").alias("month"), F.col("o_totalprice").alias("value"))
-    return fixed(A.describe(x, "month"), "mean", "least", "greatest", "deviation")
+    return fixed(A.describe(x, "month"), "mean", "least", "greatest", "deviation", digits=6)
 
 
 @query(f"SELECT (SELECT d0 FROM {EVT} ORDER BY value, d0 LIMIT 1) AS argmin, (SELECT d0 FROM {EVT} ORDER BY value DESC, d0 LIMIT 1) AS argmax, (SELECT min(value) FROM events) AS least, (SELECT max(value) FROM events) AS greatest")
@@ -736,7 +736,7 @@ def stream_append(spark, d):
     return fixed(spark.read.parquet(f"{base}/out").select("d0", "value"))
 
 
-@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     base = scratch.folder(spark, "stream")
     table = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -749,7 +749,7 @@ def stream_windows(spark, d):
 
     _drained(stats.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start())
     out = spark.read.parquet(f"{base}/out")
-    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("mean", 4).alias("mean"))
+    return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query(f"SELECT d0, round(CASE WHEN d0 < 50 THEN 7 ELSE value END, 4) AS value FROM {ORD}")
