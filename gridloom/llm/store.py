@@ -14,16 +14,22 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where the session names none (local tests), one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
     return out
@@ -38,6 +44,13 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of materialise() in this process; results that were built on them can't be read any more."""
+    while _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _shipped: set[str] = set()
 
 
