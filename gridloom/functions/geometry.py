@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..spec import ArraySpec, strides
 
 
-def floor_div(c: Column | str, n: int) -> Column:
+def floor_div(c: Column | str, n: int | Column) -> Column:
+    """Division of integers rounded down, in integers throughout; n is positive."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c / F.lit(n)).cast("long") if n <= 0 else ((c - F.pmod(c, F.lit(n))) / n).cast("long")
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.call_function("div", c - F.pmod(c, n), n).cast("long")
 
 
 def chunk_index(spec: ArraySpec, i: int) -> Column:
@@ -103,5 +105,5 @@ def key_valid(key: Column, ndim: int, version: int = 2) -> Column:
 def key_index(key: Column, ndim: int, version: int = 2) -> Column:
     """Chunk index of a key as an array, null where the key isn't one."""
     body = key if version == 2 else F.substring_index(key, "c/", -1)
-    parts = F.transform(F.split(body, r"\." if version == 2 else "/"), lambda x: F.expr("cast(null as bigint)") if False else x.try_cast("long"))
+    parts = F.transform(F.split(body, r"\." if version == 2 else "/"), lambda x: x.try_cast("long"))
     return F.when(key_valid(key, ndim, version), parts)

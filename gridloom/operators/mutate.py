@@ -89,5 +89,5 @@ def to_cells(chunks: DataFrame, spec: ArraySpec) -> DataFrame:
     for i in range(spec.ndim - 1, -1, -1):
         at = F.pmod(rest, size[i])
         cols.append((G.chunk_start(spec, i) + at).cast("long").alias(f"d{i}"))
-        rest = ((rest - at) / size[i]).cast("long")
+        rest = G.floor_div(rest, size[i])
     return out.select(*reversed(cols), "value", *spec.chunk_coords)

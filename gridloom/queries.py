@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .functions import indexing as I
+from .functions import values as U
 from .operators import analytics as A
 from .operators import batch as B
 from .operators import filters as L
@@ -586,6 +587,24 @@ def datetime_micros(spark, d):
     return V.table(spark, d, "events").where("event_id < 100").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "ts")
 
 
+@query("SELECT event_id, epoch_us(ts) AS micros, epoch_us(ts) AS parsed, true AS same FROM events WHERE event_id < 200")
+def datetime_roundtrip(spark, d):
+    x = V.table(spark, d, "events").where("event_id < 200").withColumn("m", U.micros(F.col("ts")))
+    text = F.date_format(U.from_micros(F.col("m")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return x.select("event_id", F.col("m").alias("micros"), U.parse_time(text).alias("parsed"), (U.from_micros(F.col("m")) == F.col("ts").cast("timestamp")).alias("same"))
+
+
+@query("SELECT d0, d1, d0 * 1000 + d1 AS value FROM (SELECT unnest(range(0, 30)) AS d0) CROSS JOIN (SELECT unnest(range(0, 40)) AS d1)")
+def sample_matrix(spark, d):
+    return U.matrix(spark, 30, 40)
+
+
+@query("SELECT 1000::BIGINT AS n, 1000::BIGINT AS inside, true AS centred")
+def sample_floats(spark, d):
+    x = U.random_floats(spark, 1000, 3)
+    return x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").between(0, 1).cast("long")).alias("inside"), F.avg("value").between(0.4, 0.6).alias("centred"))
+
+
 # Codecs, run beside the data
 def _packed(spark, d) -> DataFrame:
     """Each vector as bytes."""

@@ -155,3 +155,15 @@ def test_blocks_cover(a, b, c):
     got = I.block_indices(a, b, c)
     assert [x for s, e in got for x in range(s, e)] == list(range(a, b))
     assert all(s // c == (e - 1) // c for s, e in got)
+
+
+def test_values():
+    from gridloom.functions import values as U
+
+    assert U.unpack(U.pack([1.5, -2.5, 3], "int16"), "int16").tolist() == [2, -3, 3]
+    assert U.unpack(b"\x00\x01\x07", "bool").tolist() == [False, True, True]
+    with pytest.raises(ArrayError, match="out_of_range"):
+        U.pack([300], "uint8")
+    with pytest.raises(ArrayError, match="size_mismatch"):
+        U.unpack(b"abc", "int16")
+    assert U.human(2.0) == "2.00 s" and U.human(0.0125) == "12.50 ms" and U.human(5e-6) == "5 us"
