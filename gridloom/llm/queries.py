@@ -65,6 +65,17 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 ORACLE: dict[str, str] = {
     "op2_merkle_fixity": fixity.ORACLE,
     "op3_license_scan": licences.oracle(_WORDS),
+    "op7_minhash_neardup": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT DISTINCT a, b FROM c JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, other) AS (SELECT a, a FROM e UNION SELECT node, b FROM r JOIN e ON other = a),
+m AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(coalesce(component_id, doc_id) = doc_id, true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m ON node = doc_id""",
     "op6_exact_topk_search": search.oracle(_WORDS),
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
