@@ -58,3 +58,9 @@ def spec_of(cells: DataFrame, chunks: tuple[int, ...], **more) -> ArraySpec:
     n = len(chunks)
     top = cells.agg(*[F.max(f"d{i}") for i in range(n)]).first()
     return ArraySpec(tuple(int(x if x is not None else 0) + 1 for x in top), chunks, **more)
+
+
+def extent(spark: SparkSession, sf_dir: str, name: str, *ends: str) -> tuple[int, ...]:
+    """Shape from expressions over the table itself, so that no cells are made to find it."""
+    top = table(spark, sf_dir, name).selectExpr(*[f"max({e}) AS e{i}" for i, e in enumerate(ends)]).first()
+    return tuple(int(x) if x is not None else 1 for x in top)

@@ -50,18 +50,15 @@ FIX = "round(value, 4) AS value"
 
 
 def emb(spark, d):
-    x = V.embeddings(spark, d)
-    return x, V.spec_of(x, (64, 16), dtype="float64")
+    return V.embeddings(spark, d), ArraySpec(V.extent(spark, d, "embeddings", "vec_id + 1", "size(embedding)"), (64, 16), dtype="float64")
 
 
 def orders(spark, d):
-    x = V.orders(spark, d)
-    return x, V.spec_of(x, (1000,))
+    return V.orders(spark, d), ArraySpec(V.extent(spark, d, "orders", "o_orderkey + 1"), (1000,))
 
 
 def cube(spark, d):
-    x = V.cube(spark, d)
-    return x, ArraySpec((31, V.spec_of(x, (7, 32, 5)).shape[1], 5), (7, 32, 5), names=("day", "user", "type"))
+    return V.cube(spark, d), ArraySpec((31, *V.extent(spark, d, "events", "user_id + 1"), 5), (7, 32, 5), names=("day", "user", "type"))
 
 
 def fixed(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
