@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import discard, materialise, ship
+from .store import discard, materialise, release, ship
 
 #: A match of LEAST words has a whole window of SPAN hashes over GRAM words each: SPAN + GRAM - 1 <= LEAST.
 LEAST, GRAM, SPAN = 50, 8, 40
@@ -222,8 +222,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     at = all_.join(shared, "key", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
     entries = materialise(_contexts(src.join(at, src.id == at.doc).select("id", "text", "at")), "suffixes")
     discard(all_)
+    release(spark)
     found = materialise(_compared(entries.orderBy("after", "before", "doc", "pos")), "compared")
     discard(entries)
+    release(spark)
 
     coarse = _windows(found, False)
     near = coarse.groupBy("w").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.max("open").alias("any")).where("d0 < d1 and any").select("w")
