@@ -172,7 +172,7 @@ def _compared(ordered: DataFrame) -> DataFrame:
 
 
 def _windows(entries: DataFrame, fine: bool) -> DataFrame:
-    """(doc, pos, open, back, w): hashes of windows that begin ``back`` words before a suffix.
+    """(doc, pos, open, back, w, wide): hashes of windows that begin ``back`` words before a suffix, and of the words that any fine window around one can hold.
 
     Coarse: LEAST - COARSE + 1 words from every COARSE-th place. Fine: LEAST words from the COARSE places that begin at the row's ``back``.
     """
@@ -196,10 +196,12 @@ def _windows(entries: DataFrame, fine: bool) -> DataFrame:
                 e = np.maximum(s, 0)
                 ok &= (beyond[at, e + size] == beyond[at, e]) & (e + size <= width)
                 w = K.mix((total[at, e + size] - total[at, e]) * K._power("inverse", K._INV, width)[e])[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(unsettled[ok], pa.bool_()), pa.array(back[ok].astype(np.int64)), pa.array(w.view(np.int64))], names=["doc", "pos", "open", "back", "w"])
+                a, z = np.maximum(e - COARSE + 1, 0), np.minimum(e + size + COARSE - 1, width)
+                wide = K.mix((total[at, z] - total[at, a]) * K._power("inverse", K._INV, width)[a] + a.astype(np.uint64))[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(pos[ok]), pa.array(unsettled[ok], pa.bool_()), pa.array(back[ok].astype(np.int64)), pa.array(w.view(np.int64)), pa.array(wide.view(np.int64))], names=["doc", "pos", "open", "back", "w", "wide"])
 
     columns = ["doc", "pos", "open", "after", "before"] + ["back"] * fine
-    return entries.select(*columns).mapInArrow(run, "doc long, pos long, open boolean, back long, w long")
+    return entries.select(*columns).mapInArrow(run, "doc long, pos long, open boolean, back long, w long, wide long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,10 +231,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     coarse = _windows(found, False)
     near = coarse.groupBy("w").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.max("open").alias("any")).where("d0 < d1 and any").select("w")
-    around = coarse.join(near, "w", "left_semi").select("doc", "pos", "back")
+    # Only unsettled suffixes want an answer. Of the others, those with equal words all around give equal windows: two documents stand for them.
+    shared_windows = coarse.join(near, "w", "left_semi")
+    settled = shared_windows.where("not open").groupBy("w", "wide", "back").agg(F.min(F.struct("doc", "pos")).alias("x"), F.max(F.struct("doc", "pos")).alias("y"))
+    settled = settled.select("back", F.explode(F.array("x", "y")).alias("e")).select("e.doc", "e.pos", "back")
+    around = shared_windows.where("open").select("doc", "pos", "back").union(settled).distinct()
     windows = materialise(_windows(found.join(around, ["doc", "pos"]), True), "windows")
     twice = windows.groupBy("w").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 < d1")
-    exact = windows.join(twice, "w").select("doc", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") - F.col("back") + LEAST).alias("end"), F.when(F.col("doc") == F.col("d0"), F.col("d1")).otherwise(F.col("d0")).alias("partner"))
+    exact = windows.where("open").join(twice, "w").select("doc", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") - F.col("back") + LEAST).alias("end"), F.when(F.col("doc") == F.col("d0"), F.col("d1")).otherwise(F.col("d0")).alias("partner"))
     spans = found.where(f"l + r >= {LEAST}").select("doc", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"), "partner").union(exact)
     grouped = spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("parts"), F.array_sort(F.collect_set("partner")).alias("partners"))
     kind = "array<struct<start:long,end:long>>"
