@@ -11,7 +11,8 @@ are estimated, and scoring is a lookup beside the text.
 * estimation: lower orders count distinct left neighbours; discounts come from counts
   of counts; n-grams join their contexts for totals and back-off weights;
 * scoring: perplexity of each whole document, shrunk towards the trusted mean for
-  short ones; a document is rejected above its language's quantile of trusted ones.
+  short ones; a document is rejected above its language's quantile of trusted ones,
+  shrunk towards its mean plus the spread of all languages the fewer it has.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ ALPHABET, ORDER = 40, 4
 #: Characters of average likelihood that every document is taken to have besides its own.
 PRIOR = 60
 QUANTILE = 0.998
-#: A language with fewer trusted documents uses the quantile over all; so do languages beyond the first MOST_LANGS by trusted documents.
-LEAST_TRUSTED, MOST_LANGS = 50, 1000
+#: So many trusted documents of a language weigh as much as the spread that all languages share.
+SHRINK = 50
 
 CLASSES = np.full(256, 9, dtype=np.int32)  # 0 stands before a document
 CLASSES[97:123] = 14 + np.arange(26)
@@ -55,15 +56,16 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """texts (text) -> (code, c) over all of them."""
+def count_grams(texts: DataFrame, folds: int = 1) -> DataFrame:
+    """texts (text) -> (code, c) over all of them; of several folds (text, fold), the codes of each follow those of the one before."""
 
     def run(batches):
-        total, any_ = np.zeros(ALPHABET**ORDER, dtype=np.int64), False
+        total, any_ = np.zeros(folds * ALPHABET**ORDER, dtype=np.int64), False
         for batch in batches:
-            for _, _, data, offsets in K.text_slices(batch.column(0), 1 << 20):
+            fold = batch.column(1).to_numpy() if folds > 1 else np.zeros(len(batch), dtype=np.int64)
+            for i, j, data, offsets in K.text_slices(batch.column(0), 1 << 20):
                 any_ = True
-                total += np.bincount(codes(data, offsets), minlength=len(total))
+                total += np.bincount(codes(data, offsets) + np.repeat(fold[i:j], np.diff(offsets)) * ALPHABET**ORDER, minlength=len(total))
         if any_:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "c"])
@@ -103,24 +105,35 @@ def estimate(counts: DataFrame) -> np.ndarray:
     return p.ravel()
 
 
-def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """docs with ``_gl_nll`` (sum of negative log probabilities) and ``_gl_n`` (symbols) added; other columns pass through."""
+def scored(docs: DataFrame, model, text_col: str = "text", halves=None) -> DataFrame:
+    """docs with ``_gl_nll`` (sum of negative log probabilities) and ``_gl_n`` (symbols) added; other columns pass through.
+
+    With ``halves`` (models of fold 0 and 1) also ``_gl_out``, the sum under the model of the fold that ``_gl_fold`` isn't.
+    """
     at = docs.columns.index(text_col)
+    folds = docs.columns.index("_gl_fold") if halves else None
     schema = docs.schema
 
     def run(batches):
         loss = model.value
         for batch in batches:
-            nll, n = [], []
-            for _, _, data, offsets in K.text_slices(batch.column(at)):
+            nll, n, out = [], [], []
+            for i, j, data, offsets in K.text_slices(batch.column(at)):
+                code = codes(data, offsets)
                 total = np.zeros(len(data) + 1)
-                np.cumsum(loss[codes(data, offsets)], dtype=np.float64, out=total[1:])
+                np.cumsum(loss[code], dtype=np.float64, out=total[1:])
                 nll.append(total[offsets[1:]] - total[offsets[:-1]])
                 n.append(np.diff(offsets))
+                if halves:
+                    fold = batch.column(folds).to_numpy()[i:j]
+                    np.cumsum(halves.value[np.repeat(1 - fold, n[-1]), code], dtype=np.float64, out=total[1:])
+                    out.append(total[offsets[1:]] - total[offsets[:-1]])
             cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cat(nll), pa.float64()), pa.array(cat(n).astype(np.int64))], names=[*batch.schema.names, "_gl_nll", "_gl_n"])
+            new = {"_gl_nll": pa.array(cat(nll), pa.float64()), "_gl_n": pa.array(cat(n).astype(np.int64))} | ({"_gl_out": pa.array(cat(out), pa.float64())} if halves else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_gl_nll", T.DoubleType()), T.StructField("_gl_n", T.LongType())]))
+    fields = [T.StructField("_gl_nll", T.DoubleType()), T.StructField("_gl_n", T.LongType()), *([T.StructField("_gl_out", T.DoubleType())] if halves else [])]
+    return docs.mapInArrow(run, T.StructType([*schema.fields, *fields]))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -129,7 +142,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """The fitted model: ``loss`` (broadcast table), mean loss of trusted text, thresholds by language and over all."""
+    """The fitted model: ``loss`` (broadcast table), mean loss of trusted text, thresholds by language and over all (for null languages)."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
         spark = docs.sparkSession
@@ -137,31 +150,44 @@ class Classifier:
         trusted = trusted_ids(labels)
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         # One shuffle of the texts at every size: trusted ids grow with the corpus, so they are never broadcast.
-        counts = materialise(count_grams(src.where("text is not null").join(trusted.hint("merge"), "doc_id", "left_semi").select("text")), "grams")
-        self.loss = spark.sparkContext.broadcast(-np.log(estimate(counts)).astype(np.float32))
+        src = src.withColumn("_gl_fold", F.pmod(F.xxhash64("text"), F.lit(2)))
+        counts = materialise(count_grams(src.where("text is not null").join(trusted.hint("merge"), "doc_id", "left_semi").select("text", "_gl_fold"), 2), "grams")
+        size, code = ALPHABET**ORDER, F.col("code") % ALPHABET**ORDER
+        loss = lambda t: -np.log(estimate(t)).astype(np.float32)
+        self.loss = spark.sparkContext.broadcast(loss(counts.groupBy(code.alias("code")).agg(F.sum("c").alias("c"))))
+        # A model fits the text it was made from better than other text, the more so the rarer its language: trusted documents are judged by the other half's.
+        halves = spark.sparkContext.broadcast(np.stack([loss(counts.where(F.expr(f"code div {size}") == k).select(code.alias("code"), "c")) for k in (0, 1)]))
         discard(counts)
-        self.scores = materialise(scored(src, self.loss).drop("text"), "scores")
+        self.scores = materialise(scored(src, self.loss, halves=halves).drop("text", "_gl_fold"), "scores")
         good = materialise(self.scores.join(trusted, "doc_id", "left_semi"), "trusted")
         self.mean = good.agg(F.sum("_gl_nll") / F.sum("_gl_n")).first()[0]
         self.overall, self.by_lang = None, spark.createDataFrame([], "lang string, own double")
         if self.mean is not None:
-            ppl = good.withColumn("perplexity", self.perplexity())
-            at = F.percentile_approx("perplexity", quantile, 10000)
-            self.overall = ppl.agg(at).first()[0]
-            kept = ppl.where("lang is not null").groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED)
-            rows = kept.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang", "own").collect()
-            self.by_lang = spark.createDataFrame(rows, "lang string, own double")
-
-    def perplexity(self):
+            at = lambda x, q: F.percentile_approx(x, q, 10000)
+            good = good.withColumn("x", F.log(self.perplexity("_gl_out")))
+            top, middle = good.agg(at("x", quantile), at("x", 0.5)).first()
+            self.overall = float(np.exp(top))
+            named = good.where("lang is not null")
+            own = named.groupBy("lang").agg(at("x", quantile).alias("own"), F.avg("x").alias("centre"), F.count(F.lit(1)).alias("n"))
+            # A mean takes its share of its own documents' deviations; a single document has none.
+            spread = named.join(own.where("n > 1"), "lang").agg(at((F.col("x") - F.col("centre")) * F.sqrt(F.col("n") / (F.col("n") - 1)), quantile)).first()[0]
+            spread = top - middle if spread is None else spread
+            # Languages without trusted documents stand at the median of all that they have.
+            every = self.scores.where("lang is not null").withColumn("x", F.log(self.perplexity())).groupBy("lang").agg(at("x", 0.5).alias("median"))
+            shared = F.coalesce("centre", "median") + spread
+            limit = F.when(F.col("n").isNull(), shared).otherwise((F.col("n") * F.col("own") + SHRINK * shared) / (F.col("n") + SHRINK))
+            self.by_lang = materialise(every.join(own, "lang", "left").select("lang", F.exp(limit).alias("own")), "thresholds")
+
+    def perplexity(self, loss: str = "_gl_nll"):
         if self.mean is None:
             return F.lit(None).cast("double")
-        return F.exp((F.col("_gl_nll") + PRIOR * self.mean) / (F.col("_gl_n") + PRIOR))
+        return F.exp((F.col(loss) + PRIOR * self.mean) / (F.col("_gl_n") + PRIOR))
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """rows with _gl_nll, _gl_n, lang -> with _gl_perplexity, _gl_threshold, _gl_kept. Without trusted text nothing is rejected."""
-        limits = F.broadcast(self.by_lang.toDF("_gl_lang", "_gl_own"))  # at most MOST_LANGS rows
+        limits = self.by_lang.toDF("_gl_lang", "_gl_own")  # a row a language: few are broadcast by their size, many are joined
         out = rows.join(limits, rows["lang"] == F.col("_gl_lang"), "left").withColumn("_gl_threshold", F.coalesce("_gl_own", F.lit(self.overall).cast("double")))
-        return out.withColumn("_gl_perplexity", self.perplexity()).withColumn("_gl_kept", F.coalesce(F.col("_gl_perplexity") <= F.col("_gl_threshold"), F.lit(True)))
+        return out.withColumn("_gl_perplexity", self.perplexity()).withColumn("_gl_kept", (F.col("_gl_n") == 0) | F.coalesce(F.col("_gl_perplexity") <= F.col("_gl_threshold"), F.lit(True)))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -200,6 +200,22 @@ def test_quality(spark, docs, none):
     assert quality.quality(none, labels).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    def text(letters, k):
+        r = np.random.default_rng(len(letters))
+        vocabulary = ["".join(r.choice(list(letters), r.integers(3, 8))) for _ in range(60)]
+        return " ".join(np.random.default_rng(k).choice(vocabulary, 120))
+
+    rows = [(k, prose(120, 1000 + k), "en") for k in range(300)] + [(1000 + k, text("qxzjvwkyfgh", k), "small") for k in range(40)]
+    rows += [(2000 + k, text("bcdfpqxzjv", 100 + k), "none") for k in range(20)] + [(3000, "#&%$@ " * 100, "small"), (3001, None, "small")]
+    labels = [(i, 1, 0) for i, _, lang in rows if (lang == "en" or lang == "small" and i < 1010)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality long, toxic long")).collect()
+    kept = {lang: [r.kept for r in got if r.lang == lang and r.doc_id < 3000] for lang in ("en", "small", "none")}
+    assert {k: sum(v) >= 0.9 * len(v) for k, v in kept.items()} == dict.fromkeys(kept, True)
+    by = {r.doc_id: r for r in got}
+    assert not by[3000].kept and by[3001].kept and len({by[i].threshold for i in (0, 1000, 2000)}) == 3
+
+
 def test_fixity(spark, none):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (5, None, None), (5, "v", "x" * 200_000), (7, "w", "gone"), (102, "y", ""), (None, "n", "n"), (102, "z", "~tilde")]
     got = fixity.audit_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
