@@ -1,7 +1,7 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Two kinds of units are cut from a text. A paragraph is a line; long enough ones are
-banded (``rows`` minhashes a band, ``bands`` bands, tuned for recall over
+Two kinds of units are cut from a text. A paragraph is a line; equal lines of any
+length are found by the hash of all words, and those with a shingle are banded (``rows`` minhashes a band, ``bands`` bands, tuned for recall over
 precision), members of a band's bucket are joined, and the exact Jaccard similarity
 of their word shingles decides. A block is a stretch between content-defined cuts,
 wherever it stands in its line, so that a passage pasted into the middle of another
@@ -29,7 +29,7 @@ from .store import discard, materialise, ship
 
 #: Cuts stand at minima of word-pair hashes within so many words on both sides: blocks have RADIUS + 1 words at least.
 RADIUS = 5
-LEAST_BLOCK, LEAST_PARAGRAPH, LEAST_RUN = 5, 20, 15
+LEAST_BLOCK, LEAST_RUN = 5, 15
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 6, 2
 
 _UNIT = "paragraph boolean, doc long, start long, end long, a long, b long, n long, fp long, keys array<long>"
@@ -58,7 +58,7 @@ def cuts(h: np.ndarray, first: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def units(docs: DataFrame, bands: int, rows: int, shingle: int, seed: int = 11) -> DataFrame:
-    """docs (id, text) -> one row per block and per long line: byte range, word range, hash, band keys (lines only)."""
+    """docs (id, text) -> one row per block and per line: byte range, word range, hash, band keys (lines with a shingle only)."""
 
     def run(batches):
         for batch in batches:
@@ -96,15 +96,15 @@ def units(docs: DataFrame, bands: int, rows: int, shingle: int, seed: int = 11)
                 new[1:] = (line[1:] != line[:-1]) | (of[1:] != of[:-1])
                 a = np.flatnonzero(new)
                 b = np.append(a[1:], len(h))
-                keep = b - a >= LEAST_PARAGRAPH
-                a, b = a[keep], b[keep]
-                if len(a):
+                banded = b - a >= shingle
+                x, y = a[banded], b[banded]
+                key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(x), bands))
+                if len(x):
                     g = K.grams(h, shingle)
-                    mh = K.minhashes([g[x : y - shingle + 1] for x, y in zip(a.tolist(), b.tolist(), strict=True)], bands * rows, seed).reshape(len(a), bands, rows)
-                    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(a), bands))
+                    mh = K.minhashes([g[u : v - shingle + 1] for u, v in zip(x.tolist(), y.tolist(), strict=True)], bands * rows, seed).reshape(len(x), bands, rows)
                     for r in range(rows):
                         key = K.mix(key * np.uint64(0x9FB21C651E98DF25) + mh[..., r])
-                    yield emit(True, a, b, key.ravel(), np.full(len(a), bands))
+                yield emit(True, a, b, key.ravel(), np.where(banded, bands, 0))
 
     return docs.where("id is not null").mapInArrow(run, _UNIT)
 
@@ -127,8 +127,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One row per document that loses text: id_col, n_spans, n_words, spans (UTF-8 byte ranges to cut), kept_in (ids of documents that keep a copy).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
-    A span is a run of repeated units of LEAST_RUN words or more, or a similar
-    paragraph. Repeats inside one document, and rows that repeat an id, are left
+    A span is a run of repeated blocks of LEAST_RUN words or more, or an equal or
+    similar line of any length with the blocks that touch it. Repeats inside one document, and rows that repeat an id, are left
     alone; null ids, null texts and texts without words take no part.
     """
     spark = docs.sparkSession
@@ -137,9 +137,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     cut = materialise(units(src, bands, rows, shingle), "units")
     classes = cut.groupBy("fp").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     repeated = classes.where("d0 < d1").select("fp", F.col("d0").alias("kept"))
-    exact = cut.select("fp", "doc", "start", "end", "a", "b").join(repeated, "fp").where("doc > kept").select("doc", "start", "end", "a", "b", "kept")
+    exact = cut.select("fp", "doc", "start", "end", "a", "b", "paragraph").join(repeated, "fp").where("doc > kept").select("doc", "start", "end", "a", "b", "kept", F.col("paragraph").alias("near"))
 
-    lines = cut.where("paragraph").select("fp", "doc", "start", "end", "n", "keys")
+    lines = cut.where("paragraph and size(keys) > 0").select("fp", "doc", "start", "end", "n", "keys")
     first = lines.groupBy("fp").agg(F.min(F.struct("doc", "start", "end")).alias("at"), F.min("doc").alias("d0"))
     keys = lines.select("fp", F.explode("keys").alias("key")).select("key", F.col("fp").alias("id"))
     sets: list[DataFrame] = []
@@ -162,7 +162,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     discard(sets[0])
 
     # One row per document from here: spans in order, touching ones made one, short ones dropped.
-    found = exact.withColumn("near", F.lit(False)).union(similar.withColumn("near", F.lit(True)))
+    found = exact.union(similar.withColumn("near", F.lit(True)))
     grouped = found.groupBy("doc").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce(F.col("b") - F.col("a"), F.lit(0).cast("long")).alias("n"), "near"))).alias("parts"),
         F.array_sort(F.collect_set("kept")).alias("kept_in"),

@@ -137,6 +137,24 @@ def test_similar_paragraphs(spark):
     assert set(got) == {2} and got[2].spans[0].start == 0 and got[2].spans[0].end >= len(" ".join(b))
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 9, 15, 17, 19])
+def test_equal_lines_of_any_length(spark, n):
+    line = prose(n, 80 + n)
+    rows = [(i, prose(40, 100 * n + i) + "\n" + line + "\n" + prose(40, 100 * n + 50 + i)) for i in (1, 2, 3)]
+    got = {r.doc_id: r for r in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2, 3}
+    for i, text in rows[1:]:
+        (cut,) = got[i].spans
+        assert text.encode()[cut.start : cut.end].decode() == line + "\n" and 1 in got[i].kept_in
+
+
+def test_similar_short_lines(spark):
+    a = prose(18, 91).split()
+    rows = [(1, prose(40, 92) + "\n" + " ".join(a)), (2, " ".join(a[:-1] + ["changed"]) + "\n" + prose(40, 93))]
+    got = {r.doc_id: r for r in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2} and got[2].spans[0].start == 0
+
+
 def brute_contamination(docs, items, window=13):
     pats = {}
     for i, t in items:
