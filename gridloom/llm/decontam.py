@@ -4,10 +4,11 @@ Texts are normalised byte for byte (A-Z lower-cased, separators to blanks, blank
 collapsed), so that every normalised word keeps its place in the original. The
 automaton holds each item's windows; a text is scanned once, in UTF-8 bytes.
 
-Scale: the only thing sent to executors is a block of windows of bounded size. A
-benchmark of more windows than ``block`` is scanned in several blocks, one pass
-over the documents each, and the hits of a document are then merged; no text is
-shuffled.
+Scale: one read of the documents, whatever the size of the benchmark, and no text is
+shuffled. Executors get blocks of windows of bounded size and a bit table of fixed
+size. With more than one block, the bit table of all window hashes first says which
+texts can have a hit at all, and only these are scanned, with one block's automaton
+after the other; all hits of a row are merged where the row is.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import materialise, ship
+from .store import ship
 
 WINDOW = 13
 #: Windows in one automaton: at about 90 bytes each and 60 bytes a trie node, some 100 MB at most.
 BLOCK = 20_000
+#: Bits of a window hash that address the bit table: 16 MB, whatever the benchmark.
+BITS = 27
 
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if K.ALNUM[b] else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -85,28 +88,93 @@ def scan(raw: bytes, auto) -> tuple[int, list[tuple[int, int]], set[int]]:
     return len(words), [(a, b) for a, b in runs], items
 
 
-def _scanned(src: DataFrame, key: str, patterns) -> DataFrame:
-    """id, n_words, runs (first word, end word, start byte, end byte), items; one row per row of src."""
+class Windows:
+    """All windows of a benchmark: blocks of at most ``block`` for an automaton each, and a bit table of their hashes."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, item_text: str, window: int, block: int):
+        self.context = benchmark.sparkSession.sparkContext
+        self.blocks: list[tuple[str, object]] = []
+        self.bits, self.lengths = np.zeros(1 << BITS - 3, dtype=np.uint8), set()
+        patterns: dict[bytes, list[int]] = {}
+        rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
+        for r in rows.toLocalIterator():  # streams the items; at most one block of windows is held
+            for p in windows_of(normal_words(r.t), window):
+                own = patterns.setdefault(p, [])
+                if r.i not in own:
+                    own.append(r.i)
+            if len(patterns) >= block:
+                patterns = self._add(patterns)
+        if patterns or not self.blocks:
+            self._add(patterns)
+        self.table = self.context.broadcast(self.bits) if len(self.blocks) > 1 else None
+
+    def _add(self, patterns: dict[bytes, list[int]]) -> dict:
+        digest = hashlib.sha256(b"".join(p + b",".join(b"%d" % i for i in own) for p, own in sorted(patterns.items()))).hexdigest()
+        self.blocks.append((digest, self.context.broadcast(patterns)))
+        by_length: dict[int, list[bytes]] = {}
+        for p in patterns:
+            by_length.setdefault(p.count(b" ") - 1, []).append(p)
+        self.lengths.update(by_length)
+        for k, own in by_length.items():
+            for _, _, data, offsets in K.text_slices(pa.array(own, pa.binary())):
+                starts, ends, first = K.words(data, offsets, K.ALNUM)
+                at = K.grams(K.hashes(data, starts, ends), k)[first[:-1]] >> np.uint64(64 - BITS)
+                np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        return {}
+
+
+def _possible(column: pa.Array, bits: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Whether each text has a run of words whose hash is in the bit table: true of every text with a hit, and of few others."""
+    out = np.zeros(len(column), dtype=bool)
+    for i, _, data, offsets in K.text_slices(column):
+        starts, ends, first = K.words(data, offsets, K.ALNUM)
+        h = K.hashes(data, starts, ends)
+        for k in lengths:
+            at = K.grams(h, k) >> np.uint64(64 - BITS)
+            found = np.flatnonzero(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            out[i + np.searchsorted(first, found, "right") - 1] = True
+    return out
+
+
+def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _scanned(src: DataFrame, text_col: str, windows: Windows, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of src, with _gl_words, _gl_runs (first word, end word, start byte, end byte) and _gl_items; one row per row."""
+    blocks, table, lengths = windows.blocks, windows.table, sorted(windows.lengths)
+    at, kept = src.columns.index(text_col), [src.columns.index(c) for c in keep]
 
     def run(batches):
-        auto = automaton(key, patterns.value)
         for batch in batches:
-            n_words, runs, items = [], [], []
-            for raw in batch.column(1).cast(pa.binary()):
-                raw = raw.as_py() or b""
-                n, r, own = scan(raw, auto)
-                if r:
-                    at = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))]
-                    r = [{"a": a, "b": b, "start": at[a][0], "end": at[b - 1][1]} for a, b in r]
-                n_words.append(n)
-                runs.append(r)
-                items.append(sorted(own))
+            texts = batch.column(at).cast(pa.binary())
+            n_words, runs, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            wanted = range(len(texts)) if table is None else np.flatnonzero(_possible(batch.column(at), table.value, lengths)).tolist()
+            if table is not None:
+                for i, j, data, offsets in K.text_slices(batch.column(at)):
+                    n_words[i:j] = np.diff(K.words(data, offsets, K.ALNUM)[2]).tolist()
+            for key, patterns in blocks:
+                auto = automaton(key, patterns.value)
+                for i in wanted:
+                    n_words[i], found, own = scan(texts[i].as_py() or b"", auto)
+                    runs[i] += found
+                    items[i] |= own
+            for i in wanted:
+                if runs[i]:
+                    place = [m.span() for m in _WORD.finditer(texts[i].as_py().translate(_NORMAL))]
+                    runs[i] = [{"a": a, "b": b, "start": place[a][0], "end": place[b - 1][1]} for a, b in _union(runs[i])]
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-            cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.int64()))]
-            rest = [batch.column(c) for c in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(cols + rest, names=["id", "n_words", "runs", "items", *batch.schema.names[2:]])
+            new = [pa.array(n_words, pa.int64()), pa.array(runs, kind), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], names=[*keep, "_gl_words", "_gl_runs", "_gl_items"])
 
-    return src.mapInArrow(run, "id long, n_words long, runs array<struct<a:long,b:long,start:long,end:long>>, items array<long>")
+    added = T.StructType.fromDDL("_gl_words long, _gl_runs array<struct<a:long,b:long,start:long,end:long>>, _gl_items array<long>")
+    return src.mapInArrow(run, T.StructType([*[src.schema[c] for c in kept], *added.fields]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20, block: int = BLOCK) -> DataFrame:
@@ -115,79 +183,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is hit inside any occurrence of an item's window; contaminated means
     ``n_hit > 0 and share * n_hit >= n_words``. Null texts have no words and no hits.
     Items with a null id or without words are left out; items that repeat an id count
-    once. With several blocks, rows that repeat an id and a text are told apart by
-    nothing and keep one row each.
+    once. Rows are judged each by itself, so ids may be null or repeat. ``block``
+    bounds an automaton's size and doesn't change the result.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts: list[dict[bytes, list[int]]] = [{}]
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    hits: list[DataFrame] = []
-
-    def flush() -> None:
-        patterns = spark.sparkContext.broadcast(parts[0])
-        digest = hashlib.sha256(b"".join(p + b",".join(b"%d" % i for i in own) for p, own in sorted(parts[0].items()))).hexdigest()
-        hits.append(_scanned(src, digest, patterns))
-        parts[0] = {}
-
-    for r in rows.toLocalIterator():  # streams the items; at most one block of windows is held
-        for p in windows_of(normal_words(r.t), window):
-            own = parts[0].setdefault(p, [])
-            if r.i not in own:
-                own.append(r.i)
-        if len(parts[0]) >= block:
-            flush()
-    if parts[0] or not hits:
-        flush()
-    found = hits[0]
-    if len(hits) > 1:
-        # Only rows with hits are written for the later blocks; their runs are merged word by word in the aggregate below.
-        first = hits[0]
-        tables = [materialise(h.where("size(runs) > 0"), "hits") for h in hits[1:]]
-        more = tables[0]
-        for t in tables[1:]:
-            more = more.union(t)
-        more = more.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("r2"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i2"))
-        found = first.join(more, "id", "left").select("id", "n_words", _merged(F.concat("runs", F.coalesce("r2", F.expr("cast(array() as array<struct<a:long,b:long,start:long,end:long>>)")))).alias("runs"), F.array_distinct(F.concat("items", F.coalesce("i2", F.expr("cast(array() as array<long>)")))).alias("items"))
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + r.b - r.a)
-    return found.withColumn("n_hit", n_hit).select(
+    found = _scanned(src, "text", Windows(benchmark, item_col, item_text, window, block), ["id"])
+    return found.withColumn("n_hit", _hit_words()).select(
         F.col("id").alias(id_col),
-        "n_words",
+        F.col("_gl_words").alias("n_words"),
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.transform("runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end"))).alias("spans"),
-        F.array_sort("items").alias("hit_items"),
+        F.size("_gl_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.transform("_gl_items", lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("_gl_words"))).alias("contaminated"),
+        _byte_spans().alias("spans"),
+        F.col("_gl_items").alias("hit_items"),
     )
 
 
-def _merged(runs):
-    """Sorted runs with overlapping and touching ones made one."""
-    kind = "array<struct<a:long,b:long,start:long,end:long>>"
-    return F.aggregate(
-        F.array_sort(runs),
-        F.expr(f"cast(array() as {kind})"),
-        lambda done, r: F.when(
-            (F.size(done) > 0) & (r.a <= F.element_at(done, -1).b),
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1).a.alias("a"), F.greatest(F.element_at(done, -1).b, r.b).alias("b"), F.element_at(done, -1).start.alias("start"), F.greatest(F.element_at(done, -1).end, r.end).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(r))),
-    )
+def _hit_words():
+    return F.aggregate("_gl_runs", F.lit(0).cast("long"), lambda t, r: t + r.b - r.a)
+
+
+def _byte_spans():
+    return F.transform("_gl_runs", lambda r: F.struct(r.start.alias("start"), r.end.alias("end")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block: int = BLOCK) -> DataFrame:
     """docs without contaminated documents; from the others the hit runs are cut out of the text (n_chars follows), all else stays as it is.
 
-    Needs columns doc_id and text; rows that repeat a doc_id must repeat its text, as
-    they all take the decision of that id. A null doc_id keeps its row and text.
+    Needs a column text. Each row is judged by itself, so ids may be null or repeat.
     """
-    got = contamination(docs, benchmark, window=window, share=share).where("n_hit > 0").select(F.col("doc_id").alias("_gl_id"), F.col("contaminated").alias("_gl_bad"), F.col("spans").alias("_gl_spans")).dropDuplicates(["_gl_id"])
-    marked = docs.join(got, docs["doc_id"] == F.col("_gl_id"), "left").where("_gl_bad is null or not _gl_bad")
-    return cut_spans(marked, docs.columns)
+    ship(docs.sparkSession)
+    found = _scanned(docs, "text", Windows(benchmark, "item_id", "text", window, block), docs.columns)
+    # Named first, as columns of docs may have these names.
+    judged = found.select(*[F.col(f"`{c}`") for c in docs.columns], _byte_spans().alias("_gl_spans"), "_gl_words", _hit_words().alias("_gl_hit"))
+    return cut_spans(judged.where(f"not (_gl_hit > 0 and {share} * _gl_hit >= _gl_words)"), docs.columns)
 
 
 def cut_spans(df: DataFrame, columns: list[str]) -> DataFrame:
