@@ -8,8 +8,8 @@ Two texts meet in some table as soon as one unit of either collection agrees.
 Scale: equal sets collapse to their smallest id before banding, through an
 aggregate, so a group of exact copies of any size is one row from then on. In a
 bucket all members are compared with its smallest id (a star); only members that
-this leaves in different components are compared with each other. Candidates are
-confirmed on the full shingle sets; nothing is capped or sampled.
+this leaves in different components are compared with each other, in large buckets
+by an exact prefix filter instead of all pairs. Candidates are confirmed on the full shingle sets; nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -64,6 +64,18 @@ def features(docs: DataFrame, shingle: int, units: int, rows: int, seed: int) ->
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, a array<long>, b array<long>, sketch array<long>")
 
 
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (id, text) -> id, grams (the distinct shingles' hashes)."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in K.text_slices(batch.column(1)):
+                sets = K.shingle_lists(data, offsets, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), K.list_column(np.concatenate(sets), [len(x) for x in sets])], names=["id", "grams"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, grams array<long>")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold."""
 
@@ -129,13 +141,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     texts: list[DataFrame] = []
 
-    def prepare(members: DataFrame) -> None:
+    def prepare(members: DataFrame) -> DataFrame:
         texts.append(materialise(src.join(members.select("id").distinct(), "id", "left_semi"), "texts"))
+        return reps.select("id", "n")
+
+    def grams(ids: DataFrame) -> DataFrame:
+        return _sets(texts[0].join(ids, "id", "left_semi"), shingle)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return _confirmed(_possible(pairs, reps, percent), texts[0], shingle, percent)
 
-    links = bucket_links(keys, reps.select("id", "n"), percent, confirm, prepare)
+    links = bucket_links(keys, percent, prepare, grams, confirm)
     discard(texts[0])
 
     # Ids that repeat with different texts join the classes of all of them.

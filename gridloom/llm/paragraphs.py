@@ -12,7 +12,8 @@ Removals are clustered: similar paragraphs by connected components, blocks by eq
 hash. The copy in the document with the smallest id stays, all others go.
 
 Scale: units shuffle as (hash, id) rows; equal units collapse in an aggregate before
-any join. Only paragraphs whose bucket is shared fetch their text.
+any join. Only paragraphs whose bucket is shared fetch their text. Buckets that many
+dissimilar paragraphs share go through an exact prefix filter, not all pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ RADIUS = 5
 LEAST_BLOCK, LEAST_RUN = 5, 15
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 6, 2
 
-_UNIT = "paragraph boolean, doc long, start long, end long, a long, b long, n long, fp long, keys array<long>"
+_UNIT = "paragraph boolean, doc long, row long, start long, end long, a long, b long, n long, fp long, keys array<long>"
 
 
 def cuts(h: np.ndarray, first: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -58,11 +59,11 @@ def cuts(h: np.ndarray, first: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def units(docs: DataFrame, bands: int, rows: int, shingle: int, seed: int = 11) -> DataFrame:
-    """docs (id, text) -> one row per block and per line: byte range, word range, hash, band keys (lines with a shingle only)."""
+    """docs (id, text, row) -> one row per block and per line: byte range, word range, hash, band keys (lines with a shingle only)."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, rows_ = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 2))
             for i, _, data, offsets in K.text_slices(batch.column(1)):
                 starts, ends, first = K.words(data, offsets, K.ALNUM)
                 if not len(starts):
@@ -80,8 +81,8 @@ def units(docs: DataFrame, bands: int, rows: int, shingle: int, seed: int = 11)
                     last = b == first[d + 1]
                     stop = np.where(last, offsets[d + 1], starts[np.minimum(b, len(starts) - 1)])
                     return pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(a), paragraph)), pa.array(ids[i + d]), pa.array(np.where(a == word0[a], 0, starts[a] - base[a])), pa.array(stop - base[a]), pa.array(a - word0[a]), pa.array(b - word0[a]), pa.array(b - a), pa.array(fp.view(np.int64)), K.list_column(keys, counts)],
-                        names=["paragraph", "doc", "start", "end", "a", "b", "n", "fp", "keys"],
+                        [pa.array(np.full(len(a), paragraph)), pa.array(ids[i + d]), pa.array(rows_[i + d]), pa.array(np.where(a == word0[a], 0, starts[a] - base[a])), pa.array(stop - base[a]), pa.array(a - word0[a]), pa.array(b - word0[a]), pa.array(b - a), pa.array(fp.view(np.int64)), K.list_column(keys, counts)],
+                        names=["paragraph", "doc", "row", "start", "end", "a", "b", "n", "fp", "keys"],
                     )
 
                 a = np.flatnonzero(cuts(h, first))
@@ -110,7 +111,7 @@ def units(docs: DataFrame, bands: int, rows: int, shingle: int, seed: int = 11)
 
 
 def _paragraph_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """wanted (fp, doc, start, end) joined with texts (id, text) -> fp, sorted distinct shingle hashes."""
+    """wanted (fp, doc, row, start, end) joined with texts (id, text, row) -> id (fp), grams (distinct shingle hashes)."""
 
     def run(batches):
         for batch in batches:
@@ -120,33 +121,38 @@ def _paragraph_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFr
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), K.list_column(flat, [len(x) for x in sets])], names=["id", "grams"])
 
-    return wanted.join(texts, wanted.doc == texts.id).select("fp", "start", "end", "text").mapInArrow(run, "id long, grams array<long>")
+    # Rows that repeat an id and a text are one here.
+    return wanted.join(texts, (wanted.doc == texts.id) & (wanted.row == texts.row)).dropDuplicates(["fp"]).select("fp", "start", "end", "text").mapInArrow(run, "id long, grams array<long>")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document that loses text: id_col, n_spans, n_words, spans (UTF-8 byte ranges to cut), kept_in (ids of documents that keep a copy).
+    """One row per document that loses text: id_col, text_hash, n_spans, n_bytes, spans (UTF-8 byte ranges to cut), kept_in (ids of documents that keep a copy).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
     A span is a run of repeated blocks of LEAST_RUN words or more, or an equal or
-    similar line of any length with the blocks that touch it. Repeats inside one document, and rows that repeat an id, are left
-    alone; null ids, null texts and texts without words take no part.
+    similar line of any length with the blocks that touch it. Repeats inside one
+    document, or only among rows that have one id, are left alone. A document is a
+    distinct id and text: rows that repeat an id with another text are cut each by its
+    own spans (text_hash is xxhash64 of the text), rows that repeat both share one row
+    here. Null ids, null texts and texts without words take no part.
     """
     spark = docs.sparkSession
     ship(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     cut = materialise(units(src, bands, rows, shingle), "units")
     classes = cut.groupBy("fp").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     repeated = classes.where("d0 < d1").select("fp", F.col("d0").alias("kept"))
-    exact = cut.select("fp", "doc", "start", "end", "a", "b", "paragraph").join(repeated, "fp").where("doc > kept").select("doc", "start", "end", "a", "b", "kept", F.col("paragraph").alias("near"))
+    exact = cut.select("fp", "doc", "row", "start", "end", "a", "b", "paragraph").join(repeated, "fp").where("doc > kept").select("doc", "row", "start", "end", "a", "b", "kept", F.col("paragraph").alias("near"))
 
-    lines = cut.where("paragraph and size(keys) > 0").select("fp", "doc", "start", "end", "n", "keys")
-    first = lines.groupBy("fp").agg(F.min(F.struct("doc", "start", "end")).alias("at"), F.min("doc").alias("d0"))
+    lines = cut.where("paragraph and size(keys) > 0").select("fp", "doc", "row", "start", "end", "keys")
+    first = lines.groupBy("fp").agg(F.min(F.struct("doc", "row", "start", "end")).alias("at"), F.min("doc").alias("d0"))
     keys = lines.select("fp", F.explode("keys").alias("key")).select("key", F.col("fp").alias("id"))
     sets: list[DataFrame] = []
 
-    def prepare(members: DataFrame) -> None:
-        wanted = first.join(members.select(F.col("id").alias("fp")).distinct(), "fp", "left_semi").select("fp", "at.doc", "at.start", "at.end")
-        sets.append(materialise(_paragraph_sets(src.where("id is not null"), wanted, shingle).dropDuplicates(["id"]), "sets"))
+    def prepare(members: DataFrame) -> DataFrame:
+        wanted = first.join(members.select(F.col("id").alias("fp")).distinct(), "fp", "left_semi").select("fp", "at.doc", "at.row", "at.start", "at.end")
+        sets.append(materialise(_paragraph_sets(src.where("id is not null"), wanted, shingle), "sets"))
+        return sets[0].select("id", F.size("grams").cast("long").alias("n"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets[0].select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").join(sets[0].select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
@@ -154,16 +160,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         inter = F.size(F.array_intersect("ga", "gb"))
         return both.where(100 * inter >= percent * (F.size("ga") + F.size("gb") - inter)).select("a", "b")
 
-    links = bucket_links(keys.distinct(), lines.groupBy("fp").agg(F.min("n").alias("n")).withColumnRenamed("fp", "id"), 1, confirm, prepare)
+    links = bucket_links(keys.distinct(), percent, prepare, lambda ids: sets[0].join(ids, "id", "left_semi"), confirm)
     comps = materialise(connected_components(links), "components")
     homes = comps.join(first.select(F.col("fp").alias("node"), "d0"), "node").groupBy("comp").agg(F.min("d0").alias("kept"))
     near = comps.join(homes, "comp").select(F.col("node").alias("fp"), "kept")
-    similar = lines.join(near, "fp").where("doc > kept").select("doc", "start", "end", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "kept")
+    similar = lines.join(near, "fp").where("doc > kept").select("doc", "row", "start", "end", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "kept")
     discard(sets[0])
 
     # One row per document from here: spans in order, touching ones made one, short ones dropped.
     found = exact.union(similar.withColumn("near", F.lit(True)))
-    grouped = found.groupBy("doc").agg(
+    grouped = found.groupBy("doc", "row").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce(F.col("b") - F.col("a"), F.lit(0).cast("long")).alias("n"), "near"))).alias("parts"),
         F.array_sort(F.collect_set("kept")).alias("kept_in"),
     )
@@ -193,6 +199,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         .where("size(parts) > 0")
         .select(
             F.col("doc").alias(id_col),
+            F.col("row").alias("text_hash"),
             F.size("parts").cast("long").alias("n_spans"),
             F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + p.end - p.start).alias("n_bytes"),
             F.transform("parts", lambda p: F.struct(p.start.alias("start"), p.end.alias("end"))).alias("spans"),
@@ -202,6 +209,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of ``text`` (n_chars follows); every row stays. Needs doc_id and text."""
-    gone = removals(docs).select(F.col("doc_id").alias("_gl_id"), F.col("spans").alias("_gl_spans"))
-    return cut_spans(docs.join(gone, docs["doc_id"] == F.col("_gl_id"), "left"), docs.columns)
+    """docs with repeated passages cut out of ``text`` (n_chars follows); every row stays. Needs doc_id and text.
+
+    Spans belong to an id and a text, so a row is never cut by another text's offsets.
+    """
+    gone = removals(docs).select(F.col("doc_id").alias("_gl_id"), F.col("text_hash").alias("_gl_hash"), F.col("spans").alias("_gl_spans"))
+    own = (docs["doc_id"] == F.col("_gl_id")) & (F.xxhash64(docs["text"]) == F.col("_gl_hash"))
+    return cut_spans(docs.join(gone, own, "left"), docs.columns)

@@ -7,8 +7,9 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from helpers import CLASHES, awkward, awkward_table, components, empty_table, prose, shingles, words
+from helpers import ALNUM, CLASHES, awkward, awkward_table, components, empty_table, prose, shingles, words
 
+from gridloom.llm.components import prefix_pairs
 from gridloom.llm import decontam, fixity, langid, licences, neardup, packing, paragraphs, quality, search, suffixes
 
 ROWS = awkward()
@@ -104,6 +105,39 @@ def test_near_copies_are_linked_exactly(spark):
     assert got == want
 
 
+def test_boilerplate_gives_no_quadratic_candidates(spark, monkeypatch):
+    """Documents that share much text, but too little to link, meet in buckets; pairs that are looked at grow with their number, not its square."""
+    seen = []
+    possible = neardup._possible
+
+    def counted(pairs, reps, percent):
+        seen.append(pairs.count())
+        return possible(pairs, reps, percent)
+
+    monkeypatch.setattr(neardup, "_possible", counted)
+    common, totals = prose(120, 50), []
+    for n in (400, 800):
+        rows = [(k, common + " " + prose(90, 5000 + k)) for k in range(n)] + [(n, common + " " + prose(90, 5000 + n - 1) + " end")]
+        seen.clear()
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: min(i, n - 1) for i, _ in rows}
+        totals.append(sum(seen))
+    assert totals[1] < 2.5 * totals[0], totals  # a power of 1.3
+
+
+def test_prefix_filter_misses_no_pair(spark):
+    r = np.random.default_rng(5)
+    base = r.integers(1, 1 << 60, 60)
+    sets = {}
+    for k in range(120):
+        own = base[: r.integers(40, 60)].tolist() + r.integers(1, 1 << 60, r.integers(0, 14)).tolist()
+        sets[k] = set(own)
+    frame = spark.createDataFrame([(k, k, list(v)) for k, v in sets.items()], "id long, comp long, grams array<long>")
+    got = {(x.a, x.b) for x in prefix_pairs(frame, 85).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
 def test_suffixes(spark, docs, none):
     got = {r.doc_id: r for r in suffixes.repeated_passages(docs).collect()}
     grams = {}
@@ -128,6 +162,33 @@ def test_paragraphs(spark, docs, none):
     assert paragraphs.removals(none).count() == 0 and paragraphs.remove_repeats(none).count() == 0
 
 
+def test_cuts_belong_to_rows(spark):
+    a, other = prose(60, 201), prose(120, 202)
+    rows = [(1, a), (2, a + "\n" + prose(20, 203)), (2, other), (2, a + "\n" + prose(20, 203)), (3, other)]
+    got = [r.text for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "text").collect()]
+    assert sorted(got) == sorted([a, prose(20, 203), other, prose(20, 203), ""])
+
+
+def test_lines_against_brute_force(spark):
+    """Lines that are equal or have a 5-word Jaccard similarity of 0.8, but for what banding may miss."""
+    lines, rows = [prose(int(n), 300 + k).split() for k, n in enumerate(np.random.default_rng(1).integers(3, 90, 40))], []
+    r = np.random.default_rng(2)
+    for k in range(200):
+        w = list(lines[k % 40])
+        for _ in range(r.integers(0, 3) if len(w) > 40 else k % 3 == 0):
+            w[r.integers(len(w))] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    sets = {i: shingles(t, 5, ALNUM) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = components(pairs, sets)
+    want = {i for i in sets if comp[i] != i}
+    got = {x.doc_id: x for x in paragraphs.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = {i for i, x in got.items() if (x.spans[0].start, x.spans[0].end) == (0, len(rows[i][1].encode()))}
+    assert len(want) > 30 and len(want & whole) >= 0.95 * len(want)
+    for i in whole - want:  # equal blocks may cover a whole line that isn't similar as a whole
+        assert any(tuple(x) in sets[j] for j in sets if j < i for x in sets[i])
+
+
 def test_similar_paragraphs(spark):
     a = prose(100, 60).split()
     b = list(a)
