@@ -1,18 +1,22 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts characters, folded into ALPHABET classes (letters, one class for
-capitals, digits, common punctuation, the rest, and the bytes of non-ASCII text),
-from the three before. Word n-grams of the whole corpus would have to be shuffled
-for lookup, several times its size; here the tables have a fixed bound of
-ALPHABET**4 entries whatever the corpus, so counts are sharded and joined where they
-are estimated, and scoring is a lookup beside the text.
-
-* counts: each task counts its trusted texts, shards by n-gram code add them up;
-* estimation: lower orders count distinct left neighbours; discounts come from counts
-  of counts; n-grams join their contexts for totals and back-off weights;
+The model predicts bytes from the five before, all 256 of them and unfolded, so that
+its tables grow with the trusted text. Trusted documents fall into two folds by the
+hash of their text, each fold has a model, and every document is judged by the model
+of the fold that it isn't in: no text is judged by counts that it added to itself.
+
+* blocks: texts meet their labels and, later, their n-grams' probabilities in blocks
+  by the hash of doc_id, packed and compressed, so that a text moves twice, not its
+  n-grams;
+* counts: a block counts its trusted texts' n-grams; they are summed over all blocks;
+* joins: a block asks for its distinct n-grams once each. Requests and counts meet in
+  shards by the two bytes before the predicted one; all lower orders, totals and
+  back-off weights of a shard follow from the counts there. Only orders one and two
+  (at most 256**2 entries) and the discounts are sent to all;
 * scoring: perplexity of each whole document, shrunk towards the trusted mean for
   short ones; a document is rejected above its language's quantile of trusted ones,
-  shrunk towards its mean plus the spread of all languages the fewer it has.
+  shrunk towards its mean plus the spread of all languages the fewer it has, and with
+  a margin of some standard errors.
 """
 
 from __future__ import annotations
@@ -24,164 +28,344 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import discard, materialise, ship
+from .store import discard, materialise, release, ship
 
-ALPHABET, ORDER = 40, 4
-#: Characters of average likelihood that every document is taken to have besides its own.
+ORDER, BYTES, FOLDS = 6, 256, 2
+#: Symbols of average likelihood that every document is taken to have besides its own.
 PRIOR = 60
-QUANTILE = 0.998
+QUANTILE = 0.995
 #: So many trusted documents of a language weigh as much as the spread that all languages share.
 SHRINK = 50
+#: A quantile of few documents is a low estimate: so many standard errors of the language's mean are added.
+MARGIN = 4
+#: Bytes of text of a block on average; blocks whose requests a task of a shard answers at once; shards.
+BLOCK_BYTES, GROUP, SHARDS = 6 << 20, 256, 64
+_PIECE = 1 << 21
 
-CLASSES = np.full(256, 9, dtype=np.int32)  # 0 stands before a document
-CLASSES[97:123] = 14 + np.arange(26)
-CLASSES[65:91] = 1
-CLASSES[48:58] = 2
-for _c, _k in ((" ", 3), ("\n", 4), (".", 5), (",", 6), ("'", 7), ("-", 8)):
-    CLASSES[ord(_c)] = _k
-CLASSES[0x80:0xC0] = 11 + np.arange(64) * 3 // 64
-CLASSES[0xC0:] = 10
+_PACKED = "block long, kind int, at int, data binary"
+_DOCS, _IDS, _REPLY = 0, 1, 2
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The n-gram code of each byte with the classes before it, of its own document only."""
-    n, docs = len(data), len(offsets) - 1
+    """The n-gram of each byte with those before it in its own document, as a number; zeros stand before a document."""
     pad = ORDER - 1
-    place = np.arange(n) + pad * (1 + np.repeat(np.arange(docs), np.diff(offsets)))
-    s = np.zeros(n + pad * (docs + 1), dtype=np.int32)
-    s[place] = CLASSES[data]
-    code = s[place - pad]
-    for back in range(pad - 1, -1, -1):
-        code = code * ALPHABET + s[place - back]
-    return code
+    place = np.arange(len(data)) + pad * (1 + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
+    s = np.zeros(len(data) + pad * len(offsets), dtype=np.uint8)
+    s[place] = data
+    code = np.zeros(len(s), dtype=np.int64)
+    for back in range(pad, -1, -1):
+        code[pad:] = (code[pad:] << 8) | s[pad - back : len(s) - back]
+    return code[place]
 
 
-def count_grams(texts: DataFrame, folds: int = 1) -> DataFrame:
-    """texts (text) -> (code, c) over all of them; of several folds (text, fold), the codes of each follow those of the one before."""
+def pieces(column: pa.Array):
+    """(row of each byte, n-gram of each byte) in pieces of bounded size; a long text takes several."""
+    for i, j, data, offsets in K.text_slices(column, _PIECE):
+        if j - i > 1:
+            yield i + np.repeat(np.arange(j - i), np.diff(offsets)), codes(data, offsets)
+            continue
+        for a in range(0, len(data), _PIECE):
+            lead = min(a, ORDER - 1)
+            part = codes(data[a - lead : a + _PIECE], np.array([0, min(len(data) - a, _PIECE) + lead]))[lead:]
+            yield np.full(len(part), i), part
 
-    def run(batches):
-        total, any_ = np.zeros(folds * ALPHABET**ORDER, dtype=np.int64), False
-        for batch in batches:
-            fold = batch.column(1).to_numpy() if folds > 1 else np.zeros(len(batch), dtype=np.int64)
-            for i, j, data, offsets in K.text_slices(batch.column(0), 1 << 20):
-                any_ = True
-                total += np.bincount(codes(data, offsets) + np.repeat(fold[i:j], np.diff(offsets)) * ALPHABET**ORDER, minlength=len(total))
-        if any_:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "c"])
 
-    return texts.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+def shards_of(code: np.ndarray) -> np.ndarray:
+    return (K.mix((code >> 8 & 0xFFFF).astype(np.uint64)) % np.uint64(SHARDS)).astype(np.int64)
 
 
-def discounts(table: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more."""
-    got = table.agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n = [max(1, x or 0) for x in got]
-    y = n[0] / (n[0] + 2 * n[1])
-    raw = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])
-    return [0.0] + [min(max(d, 0.05), float(i)) for i, d in enumerate(raw, 1)]
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def estimate(counts: DataFrame) -> np.ndarray:
-    """counts (code, c) of order ORDER -> probability of each code given its context; at most ALPHABET**ORDER rows reach the driver."""
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy((F.col("code") % ALPHABET**k).alias("code")).agg(F.count(F.lit(1)).alias("c"))
-    p = np.full((1, ALPHABET), 1 / ALPHABET)
-    for k in range(1, ORDER + 1):
-        d = discounts(levels[k])
-        cut = F.when(F.col("c") >= 3, d[3]).when(F.col("c") == 2, d[2]).otherwise(d[1])
-        table = levels[k].withColumn("d", cut).withColumn("ctx", F.expr(f"code div {ALPHABET}"))
-        context = table.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-        got = table.join(context, "ctx").select("code", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), "ctx", (F.col("held") / F.col("total")).alias("gamma")).toArrow()
-        code, ctx = got["code"].to_numpy(), got["ctx"].to_numpy()
-        gamma = np.ones(ALPHABET ** (k - 1))
-        gamma[ctx] = got["gamma"].to_numpy()
-        alpha = np.zeros(ALPHABET**k)
-        alpha[code] = got["alpha"].to_numpy()
-        # p holds the order below by its whole code; its context is that of this order without the first symbol.
-        low = np.broadcast_to(p.reshape(1, -1), (ALPHABET if k > 1 else 1, p.size)).reshape(-1, ALPHABET)
-        p = alpha.reshape(-1, ALPHABET) + gamma[:, None] * low
-    return p.ravel()
-
-
-def scored(docs: DataFrame, model, text_col: str = "text", halves=None) -> DataFrame:
-    """docs with ``_gl_nll`` (sum of negative log probabilities) and ``_gl_n`` (symbols) added; other columns pass through.
-
-    With ``halves`` (models of fold 0 and 1) also ``_gl_out``, the sum under the model of the fold that ``_gl_fold`` isn't.
-    """
-    at = docs.columns.index(text_col)
-    folds = docs.columns.index("_gl_fold") if halves else None
-    schema = docs.schema
+def _numbers(values: np.ndarray) -> bytes:
+    """Sorted numbers, as compressed differences."""
+    return pa.compress(np.diff(values, prepend=0).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_numbers(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.int64))
+
+
+def _in_blocks(df: DataFrame, blocks: int, kind: int) -> DataFrame:
+    """df packed by the hash of doc_id, one row for each block and batch; rows with a null doc_id go by their text."""
+    key = F.xxhash64("doc_id") if "text" not in df.columns else F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
 
     def run(batches):
-        loss = model.value
         for batch in batches:
-            nll, n, out = [], [], []
-            for i, j, data, offsets in K.text_slices(batch.column(at)):
-                code = codes(data, offsets)
-                total = np.zeros(len(data) + 1)
-                np.cumsum(loss[code], dtype=np.float64, out=total[1:])
-                nll.append(total[offsets[1:]] - total[offsets[:-1]])
-                n.append(np.diff(offsets))
-                if halves:
-                    fold = batch.column(folds).to_numpy()[i:j]
-                    np.cumsum(halves.value[np.repeat(1 - fold, n[-1]), code], dtype=np.float64, out=total[1:])
-                    out.append(total[offsets[1:]] - total[offsets[:-1]])
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-            new = {"_gl_nll": pa.array(cat(nll), pa.float64()), "_gl_n": pa.array(cat(n).astype(np.int64))} | ({"_gl_out": pa.array(cat(out), pa.float64())} if halves else {})
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
-
-    fields = [T.StructField("_gl_nll", T.DoubleType()), T.StructField("_gl_n", T.LongType()), *([T.StructField("_gl_out", T.DoubleType())] if halves else [])]
-    return docs.mapInArrow(run, T.StructType([*schema.fields, *fields]))
+            block = batch.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
+            rows = batch.select(batch.schema.names[1:]) if len(edges) == 1 else batch.select(batch.schema.names[1:]).take(pa.array(order))
+            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[order[a]])]), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([_ipc(rows.slice(a, b - a))], pa.binary())], names=["block", "kind", "at", "data"])
+
+    return df.select(F.pmod(key, F.lit(blocks)).alias("_gl_block"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, _PACKED)
+
+
+def _unpacked(table: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray, list[tuple[int, bytes]]]:
+    """A block's documents, its trusted ids in order, and its replies (shard and fold, data)."""
+    docs, ids, replies = [], [np.zeros(0, dtype=np.int64)], []
+    for kind, at, data in zip(table.column("kind").to_pylist(), table.column("at").to_pylist(), table.column("data"), strict=True):
+        if kind == _REPLY:
+            replies.append((at, data.as_py()))
+        else:
+            got = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches()
+            if kind == _DOCS:
+                docs += got
+            else:
+                ids += [b.column(0).to_numpy() for b in got]
+    return docs, np.sort(np.concatenate(ids)), replies
+
+
+def _is_trusted(batch: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
+    own = batch.column(batch.schema.get_field_index("doc_id"))
+    known = own.is_valid().to_numpy(zero_copy_only=False)
+    return known & np.isin(own.fill_null(0).to_numpy(), ids)
+
+
+def _asked(docs: list[pa.RecordBatch]) -> list[np.ndarray]:
+    """For each fold's model the distinct n-grams, in order, of the documents that it judges."""
+    out = []
+    for model in range(FOLDS):
+        seen = [np.zeros(0, dtype=np.int64)]
+        for batch in docs:
+            fold = batch.column(batch.schema.get_field_index("_gl_fold")).to_numpy()
+            for row, code in pieces(batch.column(batch.schema.get_field_index("text"))):
+                seen.append(np.unique(code[fold[row] != model]))
+        out.append(np.unique(np.concatenate(seen)))
+    return out
+
+
+def levels(code: np.ndarray, count: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Counts of order ORDER (all of a shard, in order) -> those of each order down to 3; lower ones count distinct bytes on the left."""
+    out = {ORDER: (code, count)}
+    for k in range(ORDER - 1, 2, -1):
+        out[k] = np.unique(out[k + 1][0] & ((1 << 8 * k) - 1), return_counts=True)
+    return out
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more, from the numbers of n-grams counted 1, 2, 3 and 4 times."""
+    n = [max(1, x) for x in n]
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = (1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])
+    return [0.0] + [min(max(d, 0.05), float(i)) for i, d in enumerate(raw, 1)]
+
+
+def weights(code: np.ndarray, count: np.ndarray, cut: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of one order in order -> their discounted share, the distinct contexts in order, their back-off weights."""
+    context, of = np.unique(code >> 8, return_inverse=True)
+    d = np.array(cut)[np.minimum(count, 3)]
+    total = np.bincount(of, count, len(context))
+    return (count - d) / total[of], context, np.bincount(of, d, len(context)) / total
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool)
+
+
+class Model:
+    """Kneser-Ney counts of one fold; ``pairs`` are probabilities of orders one and two for all byte pairs."""
+
+    def __init__(self, code: np.ndarray, count: np.ndarray, cuts: dict[int, list[float]], pairs: np.ndarray):
+        self.parts, self.pairs = {k: (x[0], *weights(*x, cuts[k])) for k, x in levels(code, count).items()}, pairs
+
+    def loss(self, code: np.ndarray) -> np.ndarray:
+        p = self.pairs[code & 0xFFFF].astype(np.float64)
+        for k in range(3, ORDER + 1):
+            gram = code & ((1 << 8 * k) - 1)
+            grams, alpha, contexts, gamma = self.parts[k]
+            at, has = _found(contexts, gram >> 8)
+            p[has] *= gamma[at[has]]
+            at, has = _found(grams, gram)
+            p[has] += alpha[at[has]]
+        return -np.log(p)
+
+
+def low_orders(code: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Byte pairs in order with the numbers of distinct bytes before them -> interpolated probabilities of all byte pairs."""
+    cut = lambda c: discounts([int((c == i).sum()) for i in (1, 2, 3, 4)])
+    p = np.full(BYTES, 1 / BYTES)
+    single, times = np.unique(code & 0xFF, return_counts=True)
+    if len(single):
+        context = times.sum()
+        d = np.array(cut(times))[np.minimum(times, 3)]
+        p *= d.sum() / context
+        p[single] += (times - d) / context
+    pairs = np.tile(p, (BYTES, 1))
+    if len(code):
+        alpha, context, gamma = weights(code, count, cut(count))
+        pairs[context] *= gamma[:, None]
+        pairs.reshape(-1)[code] += alpha
+    return pairs.reshape(-1)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(doc_id) of documents all of whose labels say quality 1 and not toxic."""
-    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def _counted(packed: DataFrame) -> DataFrame:
+    """Packed documents and ids -> by block, fold and shard the counts of trusted n-grams (codes, counts), and the n-grams asked for (data, n)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batches, trusted, _ = _unpacked(table)
+        block = table.column("block")[0].as_py()
+        kinds = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("fold", pa.int32()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("data", pa.binary()), ("n", pa.int64())])
+        rows: list[tuple] = []
+        for fold in range(FOLDS):
+            code, count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            for batch in batches:
+                use = _is_trusted(batch, trusted) & (batch.column(batch.schema.get_field_index("_gl_fold")).to_numpy() == fold)
+                for row, got in pieces(batch.column(batch.schema.get_field_index("text"))):
+                    new, times = np.unique(got[use[row]], return_counts=True)
+                    code, of = np.unique(np.concatenate((code, new)), return_inverse=True)
+                    count = np.bincount(of, np.concatenate((count, times)), len(code)).astype(np.int64)
+            shard = shards_of(code)
+            rows += [(s, block, fold, code[shard == s], count[shard == s], None, None) for s in np.unique(shard).tolist()]
+        for model, code in enumerate(_asked(batches)):
+            shard = shards_of(code)
+            for s in np.unique(shard).tolist():
+                own = code[shard == s]
+                rows.append((s, block, model, None, None, _numbers(own), len(own)))
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    return packed.groupBy("block").applyInArrow(run, "shard long, block long, fold int, codes array<long>, counts array<long>, data binary, n long")
+
+
+def _statistics(counts: DataFrame) -> list[tuple[dict[int, list[float]], np.ndarray]]:
+    """counts (fold, shard, code, c) -> of each fold the discounts of orders 3 and up, and the probabilities of byte pairs. At most 256**2 rows a fold reach the driver."""
+
+    def run(table: pa.Table) -> pa.Table:
+        code, c = table.column("code").to_numpy(), table.column("c").to_numpy()
+        order = np.argsort(code)
+        got = levels(code[order], c[order])
+        pair, times = np.unique(got[3][0] & 0xFFFF, return_counts=True)  # a 3-gram is in one shard only, so these add up
+        seen = [(4 * k + i - 1, int((got[k][1] == i).sum())) for k in range(3, ORDER + 1) for i in (1, 2, 3, 4)]
+        at = np.concatenate((np.array([-1 - x for x, _ in seen], dtype=np.int64), pair))
+        return pa.table({"fold": pa.array(np.full(len(at), table.column("fold")[0].as_py(), dtype=np.int32)), "at": at, "c": np.concatenate((np.array([n for _, n in seen], dtype=np.int64), times.astype(np.int64)))})
+
+    got = counts.groupBy("fold", "shard").applyInArrow(run, "fold int, at long, c long").groupBy("fold", "at").agg(F.sum("c").alias("c")).toArrow()
+    fold, at, c = (got.column(k).to_numpy() for k in ("fold", "at", "c"))
+    out = []
+    for f in range(FOLDS):
+        own = np.argsort(at[fold == f])
+        place, count = at[fold == f][own], c[fold == f][own]
+        seen = dict(zip((-1 - place[place < 0]).tolist(), count[place < 0].tolist(), strict=True))
+        cuts = {k: discounts([seen.get(4 * k + i, 0) for i in range(4)]) for k in range(3, ORDER + 1)}
+        out.append((cuts, low_orders(place[place >= 0], count[place >= 0])))
+    return out
+
+
+def _replies(counts: DataFrame, requests: DataFrame, low, blocks: int) -> DataFrame:
+    """counts (fold, shard, code, c) and requests (shard, block, fold, data, n) -> packed replies: a loss for each n-gram asked for."""
+
+    def run(model: pa.Table, asked: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, bytes]] = []
+        if len(asked):
+            fold, shard = asked.column("fold")[0].as_py(), asked.column("shard")[0].as_py()
+            code, c = model.column("code").to_numpy(), model.column("c").to_numpy()
+            order = np.argsort(code)
+            m = Model(code[order], c[order], *low.value[fold])
+            for block, data, n in zip(asked.column("block").to_pylist(), asked.column("data").to_pylist(), asked.column("n").to_pylist(), strict=True):
+                rows.append((block, shard * FOLDS + fold, m.loss(_from_numbers(data, n)).astype(np.float32).tobytes()))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([_REPLY] * len(rows), pa.int32()), "at": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+    # A shard's counts go to every group of blocks.
+    spread = counts.select("fold", "shard", "code", "c", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))).alias("part"))
+    asked = requests.select("fold", "shard", "block", "data", "n", F.expr(f"cast(block div {GROUP} as int)").alias("part"))
+    keys = ("part", "fold", "shard")
+    return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _PACKED)
+
+
+def _scored(packed: DataFrame, columns: T.StructType) -> DataFrame:
+    """Packed documents, ids and replies -> the documents with _gl_nll (negative log probability), _gl_n (bytes) and _gl_trusted."""
+    names = columns.fieldNames()
+
+    def run(table: pa.Table) -> pa.Table:
+        batches, trusted, replies = _unpacked(table)
+        asked = _asked(batches)
+        losses = [np.zeros(len(code)) for code in asked]
+        shard = [shards_of(code) for code in asked]
+        for at, data in replies:
+            losses[at % FOLDS][shard[at % FOLDS] == at // FOLDS] = np.frombuffer(data, dtype=np.float32)
+        out = []
+        for batch in batches:
+            fold = batch.column(batch.schema.get_field_index("_gl_fold")).to_numpy()
+            nll, n = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
+            for row, code in pieces(batch.column(batch.schema.get_field_index("text"))):
+                n += np.bincount(row, minlength=len(batch))
+                for model in range(FOLDS):
+                    own = fold[row] != model
+                    if own.any():
+                        nll += np.bincount(row[own], losses[model][np.searchsorted(asked[model], code[own])], len(batch))
+            out.append(pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in names], pa.array(nll), pa.array(n), pa.array(_is_trusted(batch, trusted))], names=[*names, "_gl_nll", "_gl_n", "_gl_trusted"]))
+        return pa.Table.from_batches(out) if out else pa.table({k: [] for k in [*names, "_gl_nll", "_gl_n", "_gl_trusted"]}).cast(empty)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = T.StructType.fromDDL("_gl_nll double, _gl_n long, _gl_trusted boolean")
+    schema = T.StructType([*columns.fields, *added.fields])
+    empty = to_arrow_schema(schema)
+    return packed.groupBy("block").applyInArrow(run, schema)
 
 
 class Classifier:
-    """The fitted model: ``loss`` (broadcast table), mean loss of trusted text, thresholds by language and over all (for null languages)."""
+    """The fitted model's replies to all n-grams of ``docs``, the mean loss of trusted text, thresholds by language and over all (for null languages)."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
         spark = docs.sparkSession
         ship(spark)
-        trusted = trusted_ids(labels)
-        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        # One shuffle of the texts at every size: trusted ids grow with the corpus, so they are never broadcast.
-        src = src.withColumn("_gl_fold", F.pmod(F.xxhash64("text"), F.lit(2)))
-        counts = materialise(count_grams(src.where("text is not null").join(trusted.hint("merge"), "doc_id", "left_semi").select("text", "_gl_fold"), 2), "grams")
-        size, code = ALPHABET**ORDER, F.col("code") % ALPHABET**ORDER
-        loss = lambda t: -np.log(estimate(t)).astype(np.float32)
-        self.loss = spark.sparkContext.broadcast(loss(counts.groupBy(code.alias("code")).agg(F.sum("c").alias("c"))))
-        # A model fits the text it was made from better than other text, the more so the rarer its language: trusted documents are judged by the other half's.
-        halves = spark.sparkContext.broadcast(np.stack([loss(counts.where(F.expr(f"code div {size}") == k).select(code.alias("code"), "c")) for k in (0, 1)]))
+        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+        self.blocks = max(1, -(-(narrow.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BLOCK_BYTES))
+        self.ids = _in_blocks(trusted_ids(labels), self.blocks, _IDS)
+        found = materialise(_counted(self._packed(narrow)), "grams")
+        release(spark)
+        counts = found.where("codes is not null").select("fold", "shard", F.explode(F.arrays_zip("codes", "counts")).alias("x")).groupBy("fold", "shard", F.col("x.codes").alias("code")).agg(F.sum("x.counts").alias("c"))
+        counts = materialise(counts, "counts")
+        low = spark.sparkContext.broadcast(_statistics(counts))
+        self.replies = materialise(_replies(counts, found.where("data is not null"), low, self.blocks), "replies")
+        discard(found)
         discard(counts)
-        self.scores = materialise(scored(src, self.loss, halves=halves).drop("text", "_gl_fold"), "scores")
-        good = materialise(self.scores.join(trusted, "doc_id", "left_semi"), "trusted")
-        self.mean = good.agg(F.sum("_gl_nll") / F.sum("_gl_n")).first()[0]
+        release(spark)
+        self.scores = materialise(self.scored(narrow).drop("text"), "scores")
+        release(spark)
+        good = self.scores.where("_gl_trusted")
+        self.mean = good.agg(F.sum("_gl_nll") / F.nullif(F.sum("_gl_n"), F.lit(0))).first()[0]
         self.overall, self.by_lang = None, spark.createDataFrame([], "lang string, own double")
         if self.mean is not None:
             at = lambda x, q: F.percentile_approx(x, q, 10000)
-            good = good.withColumn("x", F.log(self.perplexity("_gl_out")))
+            good = good.withColumn("x", F.log(self.perplexity()))
             top, middle = good.agg(at("x", quantile), at("x", 0.5)).first()
             self.overall = float(np.exp(top))
             named = good.where("lang is not null")
-            own = named.groupBy("lang").agg(at("x", quantile).alias("own"), F.avg("x").alias("centre"), F.count(F.lit(1)).alias("n"))
+            own = named.groupBy("lang").agg(at("x", quantile).alias("own"), F.avg("x").alias("centre"), F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"))
             # A mean takes its share of its own documents' deviations; a single document has none.
             spread = named.join(own.where("n > 1"), "lang").agg(at((F.col("x") - F.col("centre")) * F.sqrt(F.col("n") / (F.col("n") - 1)), quantile)).first()[0]
             spread = top - middle if spread is None else spread
             # Languages without trusted documents stand at the median of all that they have.
             every = self.scores.where("lang is not null").withColumn("x", F.log(self.perplexity())).groupBy("lang").agg(at("x", 0.5).alias("median"))
             shared = F.coalesce("centre", "median") + spread
-            limit = F.when(F.col("n").isNull(), shared).otherwise((F.col("n") * F.col("own") + SHRINK * shared) / (F.col("n") + SHRINK))
+            limit = F.when(F.col("n").isNull(), shared).otherwise((F.col("n") * F.col("own") + SHRINK * shared) / (F.col("n") + SHRINK) + MARGIN * F.coalesce("sd", F.lit(0.0)) / F.sqrt("n"))
             self.by_lang = materialise(every.join(own, "lang", "left").select("lang", F.exp(limit).alias("own")), "thresholds")
 
-    def perplexity(self, loss: str = "_gl_nll"):
+    def _packed(self, docs: DataFrame) -> DataFrame:
+        return _in_blocks(docs.withColumn("_gl_fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS))), self.blocks, _DOCS).union(self.ids)
+
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """docs (of those that the model was made for, any columns) with _gl_nll, _gl_n and _gl_trusted."""
+        return _scored(self._packed(docs).union(self.replies), docs.schema)
+
+    def perplexity(self):
         if self.mean is None:
             return F.lit(None).cast("double")
-        return F.exp((F.col(loss) + PRIOR * self.mean) / (F.col("_gl_n") + PRIOR))
+        return F.exp((F.col("_gl_nll") + PRIOR * self.mean) / (F.col("_gl_n") + PRIOR))
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """rows with _gl_nll, _gl_n, lang -> with _gl_perplexity, _gl_threshold, _gl_kept. Without trusted text nothing is rejected."""
@@ -191,7 +375,7 @@ class Classifier:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, n_symbols, perplexity, threshold, kept.
+    """One row per document: doc_id, lang, n_symbols (bytes), perplexity, threshold, kept.
 
     Null and empty texts have the trusted mean's perplexity and are kept, as nothing
     speaks against them; a null language uses the threshold over all languages; a
@@ -204,4 +388,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
     c = Classifier(docs, labels)
-    return c.judge(scored(docs, c.loss)).where("_gl_kept").select(*[F.col(f"`{x}`") for x in docs.columns])
+    return c.judge(c.scored(docs)).where("_gl_kept").select(*[F.col(f"`{x}`") for x in docs.columns])
