@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .store import discard, materialise, release, ship
 
-ORDER, BYTES, FOLDS = 6, 256, 2
+ORDER, BYTES, FOLDS = 6, 256, 2  # codes() and the choice of the other fold know these numbers
 #: Symbols of average likelihood that every document is taken to have besides its own.
 PRIOR = 60
 QUANTILE = 0.995
@@ -40,7 +40,7 @@ SHRINK = 50
 MARGIN = 4
 #: Bytes of text of a block on average; blocks whose requests a task of a shard answers at once; shards.
 BLOCK_BYTES, GROUP, SHARDS = 6 << 20, 256, 64
-_PIECE = 1 << 21
+_PIECE, HELD_BYTES = 1 << 21, 32 << 20
 
 _PACKED = "block long, kind int, at int, data binary"
 _DOCS, _IDS, _REPLY = 0, 1, 2
@@ -52,10 +52,8 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     place = np.arange(len(data)) + pad * (1 + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
     s = np.zeros(len(data) + pad * len(offsets), dtype=np.uint8)
     s[place] = data
-    code = np.zeros(len(s), dtype=np.int64)
-    for back in range(pad, -1, -1):
-        code[pad:] = (code[pad:] << 8) | s[pad - back : len(s) - back]
-    return code[place]
+    two = (s[:-1].astype(np.int64) << 8) | s[1:]
+    return ((two[:-4] << 32) | (two[2:-2] << 16) | two[4:])[place - pad]
 
 
 def pieces(column: pa.Array):
@@ -106,38 +104,46 @@ def _in_blocks(df: DataFrame, blocks: int, kind: int) -> DataFrame:
     return df.select(F.pmod(key, F.lit(blocks)).alias("_gl_block"), *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, _PACKED)
 
 
-def _unpacked(table: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray, list[tuple[int, bytes]]]:
+def _unpacked(table: pa.Table) -> tuple[pa.RecordBatch | None, np.ndarray, list[tuple[int, bytes]]]:
     """A block's documents, its trusted ids in order, and its replies (shard and fold, data)."""
     docs, ids, replies = [], [np.zeros(0, dtype=np.int64)], []
     for kind, at, data in zip(table.column("kind").to_pylist(), table.column("at").to_pylist(), table.column("data"), strict=True):
         if kind == _REPLY:
             replies.append((at, data.as_py()))
+        elif kind == _DOCS:
+            docs += pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()
         else:
-            got = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches()
-            if kind == _DOCS:
-                docs += got
-            else:
-                ids += [b.column(0).to_numpy() for b in got]
-    return docs, np.sort(np.concatenate(ids)), replies
+            ids += [b.column(0).to_numpy() for b in pa.ipc.open_stream(data.as_buffer()).read_all().to_batches()]
+    return pa.concat_batches(docs) if docs else None, np.sort(np.concatenate(ids)), replies
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def _is_trusted(batch: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
-    own = batch.column(batch.schema.get_field_index("doc_id"))
-    known = own.is_valid().to_numpy(zero_copy_only=False)
-    return known & np.isin(own.fill_null(0).to_numpy(), ids)
+    own = _column(batch, "doc_id")
+    return own.is_valid().to_numpy(zero_copy_only=False) & np.isin(own.fill_null(0).to_numpy(), ids)
 
 
-def _asked(docs: list[pa.RecordBatch]) -> list[np.ndarray]:
-    """For each fold's model the distinct n-grams, in order, of the documents that it judges."""
-    out = []
-    for model in range(FOLDS):
-        seen = [np.zeros(0, dtype=np.int64)]
-        for batch in docs:
-            fold = batch.column(batch.schema.get_field_index("_gl_fold")).to_numpy()
-            for row, code in pieces(batch.column(batch.schema.get_field_index("text"))):
-                seen.append(np.unique(code[fold[row] != model]))
-        out.append(np.unique(np.concatenate(seen)))
-    return out
+def _encoded(batch: pa.RecordBatch):
+    """(fold, row of each byte, place of its n-gram, the distinct n-grams) for each piece of the texts and each fold in it."""
+    folds = _column(batch, "_gl_fold").to_numpy()
+    for row, code in pieces(_column(batch, "text")):
+        fold = folds[row]
+        for f in range(FOLDS):
+            own = fold == f
+            if own.any():
+                got = pa.array(code[own]).dictionary_encode()
+                yield f, row[own], got.indices.to_numpy(), got.dictionary.to_numpy()
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams with counts, some twice -> in order, each once."""
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    code, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return code, np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
 def levels(code: np.ndarray, count: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -212,31 +218,39 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _counted(packed: DataFrame) -> DataFrame:
-    """Packed documents and ids -> by block, fold and shard the counts of trusted n-grams (codes, counts), and the n-grams asked for (data, n)."""
+    """Packed documents and ids -> by block, shard and fold the distinct n-grams of its texts (n, codes), and counts of those that trusted texts have (m, trusted, counts)."""
 
     def run(table: pa.Table) -> pa.Table:
-        batches, trusted, _ = _unpacked(table)
-        block = table.column("block")[0].as_py()
-        kinds = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("fold", pa.int32()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("data", pa.binary()), ("n", pa.int64())])
+        batch, trusted, _ = _unpacked(table)
+        kinds = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("fold", pa.int32()), ("n", pa.int64()), ("codes", pa.binary()), ("m", pa.int64()), ("trusted", pa.binary()), ("counts", pa.binary())])
         rows: list[tuple] = []
-        for fold in range(FOLDS):
-            code, count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-            for batch in batches:
-                use = _is_trusted(batch, trusted) & (batch.column(batch.schema.get_field_index("_gl_fold")).to_numpy() == fold)
-                for row, got in pieces(batch.column(batch.schema.get_field_index("text"))):
-                    new, times = np.unique(got[use[row]], return_counts=True)
-                    code, of = np.unique(np.concatenate((code, new)), return_inverse=True)
-                    count = np.bincount(of, np.concatenate((count, times)), len(code)).astype(np.int64)
-            shard = shards_of(code)
-            rows += [(s, block, fold, code[shard == s], count[shard == s], None, None) for s in np.unique(shard).tolist()]
-        for model, code in enumerate(_asked(batches)):
-            shard = shards_of(code)
-            for s in np.unique(shard).tolist():
-                own = code[shard == s]
-                rows.append((s, block, model, None, None, _numbers(own), len(own)))
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
-
-    return packed.groupBy("block").applyInArrow(run, "shard long, block long, fold int, codes array<long>, counts array<long>, data binary, n long")
+        if batch is not None:
+            block, good = table.column("block")[0].as_py(), _is_trusted(batch, trusted)
+            parts: dict[int, list] = {f: [] for f in range(FOLDS)}
+            for f, row, place, grams in _encoded(batch):
+                parts[f].append((grams, np.bincount(place[good[row]], minlength=len(grams))))
+            for f, own in parts.items():
+                code, count = _merged(own)
+                shard = shards_of(code)
+                for s in np.unique(shard).tolist():
+                    here = shard == s
+                    seen = here & (count > 0)
+                    rows.append((s, block, f, int(here.sum()), _numbers(code[here]), int(seen.sum()), _numbers(code[seen]), _numbers(count[seen])))
+        return pa.table([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(kinds)], schema=kinds)
+
+    return packed.groupBy("block").applyInArrow(run, "shard long, block long, fold int, n long, codes binary, m long, trusted binary, counts binary")
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    """Counts of blocks -> (fold, shard, code, c): summed within groups of blocks, then over all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = [table.column(k) for k in ("m", "trusted", "counts")]
+        code, c = _merged([(_from_numbers(x.as_py(), m.as_py()), _from_numbers(y.as_py(), m.as_py())) for m, x, y in zip(*cols, strict=True)])
+        return pa.table({k: pa.array(np.full(len(code), table.column(k)[0].as_py()), t) for k, t in (("fold", pa.int32()), ("shard", pa.int64()))} | {"code": code, "c": c})
+
+    parts = found.where("m > 0").select("fold", "shard", "m", "trusted", "counts", F.expr(f"block div {GROUP}").alias("part"))
+    return parts.groupBy("part", "fold", "shard").applyInArrow(run, "fold int, shard long, code long, c long").groupBy("fold", "shard", "code").agg(F.sum("c").alias("c"))
 
 
 def _statistics(counts: DataFrame) -> list[tuple[dict[int, list[float]], np.ndarray]]:
@@ -264,7 +278,7 @@ def _statistics(counts: DataFrame) -> list[tuple[dict[int, list[float]], np.ndar
 
 
 def _replies(counts: DataFrame, requests: DataFrame, low, blocks: int) -> DataFrame:
-    """counts (fold, shard, code, c) and requests (shard, block, fold, data, n) -> packed replies: a loss for each n-gram asked for."""
+    """counts (fold, shard, code, c) and requests (shard, block, fold, codes, n) -> packed replies: the loss of each n-gram under the other fold's model."""
 
     def run(model: pa.Table, asked: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
@@ -272,14 +286,14 @@ def _replies(counts: DataFrame, requests: DataFrame, low, blocks: int) -> DataFr
             fold, shard = asked.column("fold")[0].as_py(), asked.column("shard")[0].as_py()
             code, c = model.column("code").to_numpy(), model.column("c").to_numpy()
             order = np.argsort(code)
-            m = Model(code[order], c[order], *low.value[fold])
-            for block, data, n in zip(asked.column("block").to_pylist(), asked.column("data").to_pylist(), asked.column("n").to_pylist(), strict=True):
+            m = Model(code[order], c[order], *low.value[1 - fold])
+            for block, data, n in zip(asked.column("block").to_pylist(), asked.column("codes").to_pylist(), asked.column("n").to_pylist(), strict=True):
                 rows.append((block, shard * FOLDS + fold, m.loss(_from_numbers(data, n)).astype(np.float32).tobytes()))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([_REPLY] * len(rows), pa.int32()), "at": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
-    # A shard's counts go to every group of blocks.
-    spread = counts.select("fold", "shard", "code", "c", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))).alias("part"))
-    asked = requests.select("fold", "shard", "block", "data", "n", F.expr(f"cast(block div {GROUP} as int)").alias("part"))
+    # A shard's counts go to every group of blocks, to those texts that they weren't made from.
+    spread = counts.select((1 - F.col("fold")).alias("fold"), "shard", "code", "c", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))).alias("part"))
+    asked = requests.select("fold", "shard", "block", "codes", "n", F.expr(f"cast(block div {GROUP} as int)").alias("part"))
     keys = ("part", "fold", "shard")
     return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _PACKED)
 
@@ -289,24 +303,20 @@ def _scored(packed: DataFrame, columns: T.StructType) -> DataFrame:
     names = columns.fieldNames()
 
     def run(table: pa.Table) -> pa.Table:
-        batches, trusted, replies = _unpacked(table)
-        asked = _asked(batches)
-        losses = [np.zeros(len(code)) for code in asked]
-        shard = [shards_of(code) for code in asked]
+        batch, trusted, replies = _unpacked(table)
+        if batch is None:
+            return empty.empty_table()
+        parts = list(_encoded(batch)) if _column(batch, "text").nbytes <= HELD_BYTES else None  # of larger blocks they are made again
+        again = lambda: parts if parts is not None else _encoded(batch)
+        asked = [_merged([(grams, np.zeros(len(grams))) for g, _, _, grams in again() if g == f])[0] for f in range(FOLDS)]
+        losses, shard = [np.zeros(len(code)) for code in asked], [shards_of(code) for code in asked]
         for at, data in replies:
             losses[at % FOLDS][shard[at % FOLDS] == at // FOLDS] = np.frombuffer(data, dtype=np.float32)
-        out = []
-        for batch in batches:
-            fold = batch.column(batch.schema.get_field_index("_gl_fold")).to_numpy()
-            nll, n = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
-            for row, code in pieces(batch.column(batch.schema.get_field_index("text"))):
-                n += np.bincount(row, minlength=len(batch))
-                for model in range(FOLDS):
-                    own = fold[row] != model
-                    if own.any():
-                        nll += np.bincount(row[own], losses[model][np.searchsorted(asked[model], code[own])], len(batch))
-            out.append(pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in names], pa.array(nll), pa.array(n), pa.array(_is_trusted(batch, trusted))], names=[*names, "_gl_nll", "_gl_n", "_gl_trusted"]))
-        return pa.Table.from_batches(out) if out else pa.table({k: [] for k in [*names, "_gl_nll", "_gl_n", "_gl_trusted"]}).cast(empty)
+        nll, n = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
+        for f, row, place, grams in again():
+            n += np.bincount(row, minlength=len(batch))
+            nll += np.bincount(row, losses[f][np.searchsorted(asked[f], grams)][place], len(batch))
+        return pa.table([*[_column(batch, k) for k in names], pa.array(nll), pa.array(n), pa.array(_is_trusted(batch, trusted))], names=[*names, "_gl_nll", "_gl_n", "_gl_trusted"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -327,10 +337,10 @@ class Classifier:
         self.ids = _in_blocks(trusted_ids(labels), self.blocks, _IDS)
         found = materialise(_counted(self._packed(narrow)), "grams")
         release(spark)
-        counts = found.where("codes is not null").select("fold", "shard", F.explode(F.arrays_zip("codes", "counts")).alias("x")).groupBy("fold", "shard", F.col("x.codes").alias("code")).agg(F.sum("x.counts").alias("c"))
-        counts = materialise(counts, "counts")
+        counts = materialise(_summed(found), "counts")
+        release(spark)
         low = spark.sparkContext.broadcast(_statistics(counts))
-        self.replies = materialise(_replies(counts, found.where("data is not null"), low, self.blocks), "replies")
+        self.replies = materialise(_replies(counts, found, low, self.blocks), "replies")
         discard(found)
         discard(counts)
         release(spark)
@@ -349,10 +359,9 @@ class Classifier:
             # A mean takes its share of its own documents' deviations; a single document has none.
             spread = named.join(own.where("n > 1"), "lang").agg(at((F.col("x") - F.col("centre")) * F.sqrt(F.col("n") / (F.col("n") - 1)), quantile)).first()[0]
             spread = top - middle if spread is None else spread
-            # Languages without trusted documents stand at the median of all that they have.
-            every = self.scores.where("lang is not null").withColumn("x", F.log(self.perplexity())).groupBy("lang").agg(at("x", 0.5).alias("median"))
-            shared = F.coalesce("centre", "median") + spread
-            limit = F.when(F.col("n").isNull(), shared).otherwise((F.col("n") * F.col("own") + SHRINK * shared) / (F.col("n") + SHRINK) + MARGIN * F.coalesce("sd", F.lit(0.0)) / F.sqrt("n"))
+            # Languages without trusted documents stand at the median of all that they have, with their own spread where it is wider: four standard deviations are six times upper quartile less median.
+            every = self.scores.where("lang is not null").withColumn("x", F.log(self.perplexity())).groupBy("lang").agg(at("x", 0.5).alias("median"), at("x", 0.75).alias("upper"))
+            limit = F.when(F.col("n").isNull(), F.col("median") + F.greatest(F.lit(spread), 6 * (F.col("upper") - F.col("median")))).otherwise((F.col("n") * F.col("own") + SHRINK * (F.col("centre") + spread)) / (F.col("n") + SHRINK) + MARGIN * F.coalesce("sd", F.lit(0.0)) / F.sqrt("n"))
             self.by_lang = materialise(every.join(own, "lang", "left").select("lang", F.exp(limit).alias("own")), "thresholds")
 
     def _packed(self, docs: DataFrame) -> DataFrame:
