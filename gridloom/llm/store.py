@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -23,13 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends there and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: lineage ends there and survives lost executors.
+
+    Spark removes the write's shuffle files as soon as it has ended, as nothing reads
+    them again; else they would stay until its driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
@@ -45,12 +54,6 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now; else they stay until its driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def clear(spark: SparkSession) -> None:
     """Delete all tables of materialise() in this process; results that were built on them can't be read any more."""
     while _written:
