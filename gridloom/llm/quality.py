@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts bytes from the five before, all 256 of them and unfolded, so that
+The model predicts bytes from the four before, all 256 of them and unfolded, so that
 its tables grow with the trusted text. Trusted documents fall into two folds by the
 hash of their text, each fold has a model, and every document is judged by the model
 of the fold that it isn't in: no text is judged by counts that it added to itself.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .store import discard, materialise, ship
 
-ORDER, BYTES, FOLDS = 6, 256, 2  # codes() and the choice of the other fold know these numbers
+ORDER, BYTES, FOLDS = 5, 256, 2  # codes() and the choice of the other fold know these numbers
 #: Symbols of average likelihood that every document is taken to have besides its own.
 PRIOR = 60
 QUANTILE = 0.995
@@ -53,7 +53,7 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     s = np.zeros(len(data) + pad * len(offsets), dtype=np.uint8)
     s[place] = data
     two = (s[:-1].astype(np.int64) << 8) | s[1:]
-    return ((two[:-4] << 32) | (two[2:-2] << 16) | two[4:])[place - pad]
+    return ((s[:-4].astype(np.int64) << 32) | (two[1:-2] << 16) | two[3:])[place - pad]
 
 
 def pieces(column: pa.Array):
@@ -88,6 +88,17 @@ def _from_numbers(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.int64))
 
 
+def _losses(values: np.ndarray) -> bytes:
+    """Losses in steps of 1 / 1024 (a step is far below what a threshold can tell), high and low bytes apart, compressed."""
+    steps = np.minimum(np.round(values * 1024), 65535).astype("<u2")
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 2).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_losses(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=2 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(2, -1).T).view("<u2").ravel() / 1024
+
+
 def _in_blocks(df: DataFrame, blocks: int, kind: int) -> DataFrame:
     """df packed by the hash of doc_id, one row for each block and batch; rows with a null doc_id go by their text."""
     key = F.xxhash64("doc_id") if "text" not in df.columns else F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
@@ -288,7 +299,7 @@ def _replies(counts: DataFrame, requests: DataFrame, low, blocks: int) -> DataFr
             order = np.argsort(code)
             m = Model(code[order], c[order], *low.value[1 - fold])
             for block, data, n in zip(asked.column("block").to_pylist(), asked.column("codes").to_pylist(), asked.column("n").to_pylist(), strict=True):
-                rows.append((block, shard * FOLDS + fold, m.loss(_from_numbers(data, n)).astype(np.float32).tobytes()))
+                rows.append((block, shard * FOLDS + fold, _losses(m.loss(_from_numbers(data, n)))))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([_REPLY] * len(rows), pa.int32()), "at": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     # A shard's counts go to every group of blocks, to those texts that they weren't made from.
@@ -311,7 +322,8 @@ def _scored(packed: DataFrame, columns: T.StructType) -> DataFrame:
         asked = [_merged([(grams, np.zeros(len(grams))) for g, _, _, grams in again() if g == f])[0] for f in range(FOLDS)]
         losses, shard = [np.zeros(len(code)) for code in asked], [shards_of(code) for code in asked]
         for at, data in replies:
-            losses[at % FOLDS][shard[at % FOLDS] == at // FOLDS] = np.frombuffer(data, dtype=np.float32)
+            here = shard[at % FOLDS] == at // FOLDS
+            losses[at % FOLDS][here] = _from_losses(data, int(here.sum()))
         nll, n = np.zeros(len(batch)), np.zeros(len(batch), dtype=np.int64)
         for f, row, place, grams in again():
             n += np.bincount(row, minlength=len(batch))

@@ -94,13 +94,13 @@ def kn_model(texts):
 
 def test_kneser_ney_is_a_distribution():
     m = kn_model(["abracadabra alakazam abracadabra", "été 日本語", "abra"])
-    for context in (b"abrac", b"zzabr", b"\0\0\0\0a", "é été".encode()[:5], b"qqqqq"):
+    for context in (b"brac", b"zabr", b"\0\0\0a", "é été".encode()[:4], b"qqqq"):
         p = np.exp(-m.loss(int.from_bytes(context, "big") << 8 | np.arange(256)))
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
 def test_quality_against_a_slow_one(spark):
-    """Perplexity, threshold and verdict of each document, from dictionaries of counts."""
+    """Perplexity, threshold and verdict of each document, from dictionaries of counts; losses come in steps of 1 / 1024."""
     from pyspark.sql import functions as F
 
     texts = ["abracadabra alakazam abracadabra", "the cat sat on the mat", "the mat sat on the cat", "der Hund und die Katze", "und die Katze schläft", "#" * 40, "", None, "the dog sat on the mat", "abracadabra"]
@@ -153,8 +153,8 @@ def test_quality_against_a_slow_one(spark):
     limit[None] = at([x[i] for i in trusted], quality.QUANTILE)
     got = {r.doc_id: r for r in quality.quality(df, spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality long, toxic long")).collect()}
     for i in x:
-        assert abs(got[i].perplexity - np.exp(x[i])) < 1e-4 * np.exp(x[i]), i
-        assert abs(got[i].threshold - np.exp(limit[langs[i]])) < 1e-4 * np.exp(limit[langs[i]]), i
+        assert abs(got[i].perplexity - np.exp(x[i])) < 1e-3 * np.exp(x[i]), i
+        assert abs(got[i].threshold - np.exp(limit[langs[i]])) < 1e-3 * np.exp(limit[langs[i]]), i
         assert got[i].kept == (size[i] == 0 or got[i].perplexity <= got[i].threshold)
     assert not got[5].kept and got[6].kept and got[7].kept
 
