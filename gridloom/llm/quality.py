@@ -40,7 +40,7 @@ SHRINK = 50
 MARGIN = 4
 #: Bytes of text of a block on average; blocks whose requests a task of a shard answers at once; shards.
 BLOCK_BYTES, GROUP, SHARDS = 6 << 20, 256, 64
-_PIECE, HELD_BYTES = 1 << 21, 32 << 20
+_PIECE, HELD_BYTES = 1 << 20, 32 << 20
 
 _PACKED = "block long, kind int, at int, data binary"
 _DOCS, _IDS, _REPLY = 0, 1, 2

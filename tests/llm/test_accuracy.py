@@ -79,7 +79,7 @@ def test_quality(spark, sf):
     assert sum(good) >= 0.95 * len(good) > 0 and sum(bad) <= 0.2 * len(bad)
     for lang in ("en", "de", "fr", "es"):
         own = [r.kept for r in rows if r.quality == 1 and r.toxic == 0 and r.lang == lang]
-        assert sum(own) >= 0.9 * len(own) > 5, lang
+        assert len(own) > 5 and len(own) - sum(own) <= max(2, len(own) // 10), lang  # a dozen documents or two
 
 
 def kn_model(texts):
