@@ -121,8 +121,9 @@ def _paragraph_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFr
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), K.list_column(flat, [len(x) for x in sets])], names=["id", "grams"])
 
-    # Rows that repeat an id and a text are one here.
-    return wanted.join(texts, (wanted.doc == texts.id) & (wanted.row == texts.row)).dropDuplicates(["fp"]).select("fp", "start", "end", "text").mapInArrow(run, "id long, grams array<long>")
+    # Rows that repeat an id and a text give equal sets.
+    found = wanted.join(texts, (wanted.doc == texts.id) & (wanted.row == texts.row)).select("fp", "start", "end", "text")
+    return found.mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"])
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
