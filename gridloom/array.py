@@ -102,13 +102,13 @@ class ChunkedArray:
         return select.orthogonal(self.cells, self.spec, indices)
 
     def mask(self, mask: DataFrame) -> DataFrame:
-        return select.masked(self.dense().cells, self.spec, mask)
+        return select.masked(self.cells, self.spec, mask, absent=True)
 
     def blocks(self, start: Sequence[int] | None = None, stop: Sequence[int] | None = None) -> DataFrame:
         """Chunks that overlap a region with their bounds and dense data, each whole."""
         bounds = I.region(self.spec, start, stop)
         found = select.blocks(self.spec, self.cells.sparkSession, bounds)
-        return found.join(mutate.to_chunks(self.cells, self.spec), self.spec.chunk_coords)
+        return found.join(mutate.complete_chunks(self.cells, self.spec, found), self.spec.chunk_coords)
 
     def dense(self) -> ChunkedArray:
         return ChunkedArray(self.spec, select.densify(self.cells.select(*self.spec.coords, "value"), self.spec.shape, self.spec.fill))

@@ -81,6 +81,29 @@ def to_chunks(cells: DataFrame, spec: ArraySpec) -> DataFrame:
     return dense.groupBy(*spec.chunk_coords).agg(F.array_sort(F.collect_list(F.struct(G.flat_index(spec.coords, spec.shape).alias("f"), "value"))).alias("x")).select(*spec.chunk_coords, F.col("x.value").alias("data"))
 
 
+def complete_chunks(cells: DataFrame, spec: ArraySpec, chunks: DataFrame | None = None) -> DataFrame:
+    """Dense chunk layout of ``chunks`` (c0.., each once), or of those that have cells; absent cells are fill. The rest of the array isn't made."""
+    x = G.with_chunks(cells.select(*spec.coords, "value"), spec)
+    chunks = x.select(*spec.chunk_coords).distinct() if chunks is None else chunks.select(*spec.chunk_coords)
+    places = to_cells(chunks.withColumn("data", F.sequence(F.lit(0).cast("long"), _chunk_cells(spec) - 1)), spec).drop("value")
+    dense = places.join(x.select(*spec.coords, "value"), spec.coords, "left").withColumn("value", F.coalesce("value", F.lit(spec.fill)))
+    return dense.groupBy(*spec.chunk_coords).agg(F.array_sort(F.collect_list(F.struct(G.flat_index(spec.coords, spec.shape).alias("f"), "value"))).alias("x")).select(*spec.chunk_coords, F.col("x.value").alias("data"))
+
+
+def _chunk_cells(spec: ArraySpec) -> Column:
+    """Cells of the chunk at c0.., clamped to the array."""
+    n = F.lit(1).cast("long")
+    for i in range(spec.ndim):
+        n = n * (G.chunk_stop(spec, i) - G.chunk_start(spec, i))
+    return n
+
+
+def checked_chunks(chunks: DataFrame, spec: ArraySpec) -> DataFrame:
+    """chunks; a row whose data hasn't the size of its chunk is an error when it is read, as its cells would land elsewhere."""
+    size = F.size("data").cast("long")
+    return chunks.withColumn("data", F.when(size == _chunk_cells(spec), F.col("data")).otherwise(F.raise_error(F.concat(F.lit("chunk of another shape, cells: "), size.cast("string")))))
+
+
 def to_cells(chunks: DataFrame, spec: ArraySpec) -> DataFrame:
     """Cell layout of dense chunks, by position inside the chunk; keeps c0.. for pruning."""
     out = chunks.select(*spec.chunk_coords, F.posexplode("data").alias("p", "value"))

@@ -106,9 +106,12 @@ def orthogonal(cells: DataFrame, spec: ArraySpec, indices: Sequence[Sequence[int
     return densify(found, tuple(len(x) for x in lists), spec.fill) if all(lists) else found
 
 
-def masked(cells: DataFrame, spec: ArraySpec, mask: DataFrame) -> DataFrame:
-    """Cells where mask (d0.., m) is true: (flat, value), flat being the row-major position that orders the result."""
+def masked(cells: DataFrame, spec: ArraySpec, mask: DataFrame, absent: bool = False) -> DataFrame:
+    """Cells where mask (d0.., m) is true: (flat, value), flat being the row-major position that orders the result. ``absent`` ones come as fill if asked for."""
     on = mask.where("m").select(*spec.coords)
+    if absent:
+        inside = on.where(_all([F.col(c).between(0, n - 1) for c, n in zip(spec.coords, spec.shape, strict=True)]))
+        return inside.join(cells.select(*spec.coords, "value"), spec.coords, "left").select(G.flat_index(spec.coords, spec.shape).alias("flat"), F.coalesce("value", F.lit(spec.fill)).alias("value"))
     return cells.join(on, spec.coords, "left_semi").select(G.flat_index(spec.coords, spec.shape).alias("flat"), "value")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import product
 
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions import geometry as G
-from ..operators.mutate import to_chunks
+from ..operators.mutate import checked_chunks, complete_chunks, overlay, to_cells
 from ..spec import ArrayError, ArraySpec, dtype
 from . import codecs as C
 from . import keys
 from . import metadata as M
-from .store import Store, open_store
+from .store import Store, kind_of, open_store
 
 
 def read_spec(store: Store, prefix: str = "") -> ArraySpec:
@@ -107,8 +108,20 @@ def _arrow(values: np.ndarray, kind: str) -> pa.Array:
 
 
 class ChunkPartition(InputPartition):
-    def __init__(self, indices: list[tuple[int, ...]]):
-        self.indices = indices
+    def __init__(self, first: int, last: int, grid: list[tuple[int, int]], wanted: list[tuple[int, int]]):
+        self.first, self.last, self.grid, self.wanted = first, last, grid, wanted
+
+    def indices(self, shard: tuple[int, ...] | None) -> Iterator[tuple[int, ...]]:
+        for n in range(self.first, self.last):
+            at = []
+            for lo, hi in reversed(self.grid):
+                n, i = divmod(n, hi - lo + 1)
+                at.append(lo + i)
+            at = tuple(reversed(at))
+            if shard is None:
+                yield at
+            else:
+                yield from product(*[range(max(lo, a * s), min(hi, a * s + s - 1) + 1) for a, s, (lo, hi) in zip(at, shard, self.wanted, strict=True)])
 
 
 class ChunkReader(DataSourceReader):
@@ -132,16 +145,20 @@ class ChunkReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[ChunkPartition]:
-        lists = [range(lo, hi + 1) for lo, hi in G.overlapping(self.spec, [tuple(b) for b in self.bounds])]
-        wanted = list(product(*lists))
-        if self.spec.shard is not None:  # a shard's chunks go together, as it is read once for them
-            wanted.sort(key=lambda i: tuple(a // s for a, s in zip(i, self.spec.shard, strict=True)))
-        return [ChunkPartition(wanted[i : i + self.per]) for i in range(0, len(wanted), self.per)] or [ChunkPartition([])]
+        """Ranges of numbers in the grid of wanted chunks (of wanted shards, where an array has them); a task makes the indices itself."""
+        lists = G.overlapping(self.spec, [tuple(b) for b in self.bounds])
+        if self.spec.shard is not None:
+            grid = [(lo // s, hi // s) for (lo, hi), s in zip(lists, self.spec.shard, strict=True)]
+            per = max(1, self.per // math.prod(self.spec.shard))
+        else:
+            grid, per = lists, self.per
+        total = math.prod(max(0, hi - lo + 1) for lo, hi in grid)
+        return [ChunkPartition(i, min(i + per, total), grid, lists) for i in range(0, total, per)] or [ChunkPartition(0, 0, grid, lists)]
 
     def read(self, partition: ChunkPartition):
         store, spec = open_store(self.path, self.backend), self.spec
         held: tuple[str, dict] | None = None
-        for index in partition.indices:
+        for index in partition.indices(spec.shard):
             key, inner = chunk_place(spec, index)
             at = f"{self.prefix}/{key}" if self.prefix else key
             if inner is not None:
@@ -173,8 +190,15 @@ class ChunkedSource(DataSource):
         return ChunkReader(self.options)
 
 
+def _reachable(spark: SparkSession, path: str, backend: str | None) -> None:
+    """A directory of one machine isn't one store on a cluster: its executors would write and read each their own."""
+    if kind_of(path, backend) == "directory" and spark.sparkContext.master.split("[")[0] != "local" and not path.startswith("file://"):
+        raise ArrayError("local_store_on_cluster", f"{path}: name a file system that all executors share, or file:// for one mounted on all of them")
+
+
 def scan(spark: SparkSession, path: str, **options) -> DataFrame:
     """Cells of a stored array."""
+    _reachable(spark, path, options.get("backend"))
     spark.dataSource.register(ChunkedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters is refused without it
     return spark.read.format("gridloom").options(**{k: str(v) for k, v in options.items()}).load(path)
@@ -188,6 +212,7 @@ def write(cells: DataFrame, spec: ArraySpec, path: str, backend: str | None = No
     come to the driver, shard by shard.
     """
     spark = cells.sparkSession
+    _reachable(spark, path, backend)
     store = open_store(path, backend)
     write_spec(store, spec, prefix)
     wanted = G.with_chunks(cells.select(*spec.coords, "value"), spec)
@@ -196,7 +221,7 @@ def write(cells: DataFrame, spec: ArraySpec, path: str, backend: str | None = No
     if not sparse:
         every = G.grid(spark, spec.num_chunks, "c").withColumns({f"s{i}": G.floor_div(f"c{i}", s) for i, s in enumerate(unit)})
         wanted = every.join(wanted, [*spec.chunk_coords, *[f"s{i}" for i in range(spec.ndim)]], "left")
-    local = backend in (None, "directory") and not path.endswith(".zip") and not path.startswith("memory://")
+    local = kind_of(path, backend) in ("directory", "filesystem")  # tasks put their chunks themselves
     kind = dtype(spec.dtype)
 
     def encode(table: pa.Table) -> tuple[str, bytes]:
@@ -237,42 +262,36 @@ def write(cells: DataFrame, spec: ArraySpec, path: str, backend: str | None = No
     return spark.createDataFrame(rows, "key string, bytes long")
 
 
-# The native layout: a Parquet table of dense chunks, partitioned by the leading chunk coordinate.
+# The native layout: a Parquet table of dense chunks, partitioned by the leading chunk coordinate. Chunks without cells aren't stored.
 def write_chunk_table(cells: DataFrame, spec: ArraySpec, path: str, mode: str = "overwrite") -> None:
-    to_chunks(cells, spec).write.mode(mode).partitionBy("c0").parquet(path)
+    complete_chunks(cells, spec).write.mode(mode).partitionBy("c0").parquet(path)
 
 
 def read_chunk_table(spark: SparkSession, spec: ArraySpec, path: str, bounds: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Cells with c0.., restricted to the chunks that a region overlaps; the restriction prunes partitions."""
-    from ..operators.mutate import to_cells
+    """Cells with c0.., restricted to the chunks that a region overlaps; the restriction prunes partitions. Cells of chunks that aren't stored are absent."""
     from ..operators.select import pruned
 
     chunks = spark.read.parquet(path)
     chunks = chunks.select(*[F.col(c).cast("long").alias(c) if c != "c0" else F.col(c) for c in spec.chunk_coords], "data")
-    return to_cells(pruned(chunks, spec, bounds) if bounds else chunks, spec)
+    return to_cells(checked_chunks(pruned(chunks, spec, bounds) if bounds else chunks, spec), spec)
 
 
 def update_chunk_table(patch: DataFrame, spec: ArraySpec, path: str, bounds: list[tuple[int, int]]) -> None:
-    """Region write on the Parquet layout: only partitions whose chunks overlap the region are rewritten."""
-    from ..operators.mutate import overlay
+    """Region write on the Parquet layout: only partitions whose chunks overlap the region are rewritten.
 
+    A chunk that isn't stored yet becomes one of fill with the patch in it. Chunks that
+    were written for another shape and would be misread are an error: write the table
+    anew after a resize that changes the size of a stored chunk. One writer at a time.
+    """
     spark = patch.sparkSession
     lo, hi = G.overlapping(spec, bounds)[0]
     chunks = spark.read.parquet(path).where(F.col("c0").between(lo, hi))
-    from ..operators.mutate import to_cells
-
-    old = to_cells(chunks.select(*spec.chunk_coords, "data"), spec)
-    new = overlay(old, patch, spec)
-    touched = to_chunks_of(new, spec)
-    part = f"{path.rstrip('/')}_part"
-    touched.write.mode("overwrite").parquet(part)  # the overwritten files are also read
+    old = to_cells(checked_chunks(chunks.select(*[F.col(c).cast("long").alias(c) for c in spec.chunk_coords], "data"), spec), spec)
+    part = f"{path.rstrip('/')}_part-{uuid.uuid4().hex}"
+    complete_chunks(overlay(old, patch, spec), spec).write.parquet(part)  # the overwritten files are also read
     spark.read.parquet(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("c0").parquet(path)
-
-
-def to_chunks_of(cells: DataFrame, spec: ArraySpec) -> DataFrame:
-    """Chunk rows of complete chunks only, without making the rest of the array."""
-    x = G.with_chunks(cells.select(*spec.coords, "value"), spec)
-    return x.groupBy(*spec.chunk_coords).agg(F.array_sort(F.collect_list(F.struct(G.flat_index(spec.coords, spec.shape).alias("f"), "value"))).alias("x")).select(*spec.chunk_coords, F.col("x.value").alias("data"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(part)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def convert(spark: SparkSession, source: str, target: str, version: int, backend: str | None = None, target_backend: str | None = None) -> ArraySpec:

@@ -1,7 +1,7 @@
 """Key-value stores under arrays: a directory tree, a zip archive, memory, and a registry for more.
 
-Keys are relative paths. Object stores are reached through the Parquet chunk table
-(any path Spark can read); these stores serve the directory formats.
+Keys are relative paths. Object stores and HDFS are file systems by URI; the Parquet
+chunk table works on any path that Spark can read.
 """
 
 from __future__ import annotations
@@ -138,6 +138,51 @@ class MemoryStore:
         return bool(self.data)
 
 
+class FileSystemStore:
+    """Objects below a URI of a file system that pyarrow knows (s3, gs, abfs, hdfs, file); every executor reaches the same ones.
+
+    An object appears when its stream is closed. ``keys`` lists all pages of a listing.
+    """
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(path)
+        self._file = fs.FileType.File
+        self._selector = fs.FileSelector
+
+    def get(self, key: str) -> bytes | None:
+        try:
+            with self.fs.open_input_stream(f"{self.root}/{key}") as f:
+                return f.read()
+        except (FileNotFoundError, IsADirectoryError, NotADirectoryError):
+            return None
+        except OSError:
+            if self.fs.get_file_info(f"{self.root}/{key}").type == self._file:
+                raise
+            return None
+
+    def put(self, key: str, data: bytes) -> None:
+        at = f"{self.root}/{key}"
+        self.fs.create_dir(at.rpartition("/")[0], recursive=True)
+        with self.fs.open_output_stream(at) as f:
+            f.write(data)
+
+    def delete(self, key: str) -> None:
+        try:
+            self.fs.delete_file(f"{self.root}/{key}")
+        except FileNotFoundError:
+            pass
+
+    def keys(self) -> Iterator[str]:
+        for info in self.fs.get_file_info(self._selector(self.root, allow_not_found=True, recursive=True)):
+            if info.type == self._file:
+                yield info.path[len(self.root) :].lstrip("/")
+
+    def exists(self) -> bool:
+        return next(self.keys(), None) is not None
+
+
 class FaultyStore:
     """For tests: a store that fails on chosen operations, and counts calls."""
 
@@ -166,7 +211,7 @@ class FaultyStore:
         return self._do("exists")
 
 
-_STORES: dict[str, Callable[[str], Store]] = {"directory": DirectoryStore, "zip": ZipStore, "memory": MemoryStore}
+_STORES: dict[str, Callable[[str], Store]] = {"directory": DirectoryStore, "zip": ZipStore, "memory": MemoryStore, "filesystem": FileSystemStore}
 
 
 def register(name: str, factory: Callable[[str], Store], force: bool = False) -> None:
@@ -183,10 +228,20 @@ def registered() -> list[str]:
     return sorted(_STORES)
 
 
+def kind_of(path: str, backend: str | None = None) -> str:
+    """The named backend, or the one by the path's looks: .zip is an archive, memory:// is memory, other URIs are file systems, all else a directory."""
+    if backend is not None:
+        return backend
+    if path.startswith("memory://"):
+        return "memory"
+    if "://" in path and not path.startswith("file://"):
+        return "filesystem"
+    return "zip" if path.endswith(".zip") else "directory"
+
+
 def open_store(path: str, backend: str | None = None) -> Store:
-    """By name, or by the path's looks: .zip is an archive, memory:// is memory, all else a directory."""
-    if backend is None:
-        backend = "zip" if path.endswith(".zip") else "memory" if path.startswith("memory://") else "directory"
+    """The store of kind_of(path, backend)."""
+    backend = kind_of(path, backend)
     if backend not in _STORES:
         raise ArrayError("unknown_backend", backend)
     return _STORES[backend](path)

@@ -24,15 +24,19 @@ def append_to(cells: DataFrame, spec: ArraySpec, table: str, checkpoint: str):
 
 
 def overlay_batches(spec: ArraySpec, read: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the latest value of each coordinate in the batch replaces the stored one."""
+    """For foreachBatch: the latest value (by ``seq``; without it the largest) of each coordinate in the batch replaces the stored one.
+
+    A replayed batch gives the same state again, so nothing depends on the epoch as long
+    as ``write`` replaces the state and batches come in order.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy(*spec.coords).agg(F.max_by("value", "seq").alias("value")) if "seq" in batch.columns else batch.dropDuplicates(spec.coords)
+        last = batch.groupBy(*spec.coords).agg(F.max_by("value", "seq").alias("value")) if "seq" in batch.columns else batch.groupBy(*spec.coords).agg(F.max("value").alias("value"))
         write(overlay(read(), last, spec))
 
     return apply
 
 
 def windowed_stats(events: DataFrame, time: str, value: str, width: str, late: str, *by: str) -> DataFrame:
-    """Count, mean and extremes of event-time windows; later events than ``late`` are dropped."""
+    """Count, mean and extremes of event-time windows; for output modes append and update: there events later than ``late`` are dropped and closed windows leave the state."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))

@@ -159,3 +159,65 @@ def test_catalog(spark, tmp_path):
     c.pop("a/b")
     assert "a/b/x" not in c and json.loads(s.get("a/b/x/.zarray"))["shape"] == [4]
     assert again.dataframe(spark).where("kind = 'array'").count() == 1
+
+
+def test_chunk_table_updates_absent_chunks(spark, tmp_path):
+    small, path = ArraySpec((4,), (4,), "float64"), str(tmp_path / "t")
+    cells = spark.createDataFrame([(i, float(i)) for i in range(4)], "d0 long, value double")
+    chunked.write_chunk_table(cells, small, path)
+    grown = small.with_shape((8,))
+    chunked.update_chunk_table(spark.createDataFrame([(6, 60.0)], "d0 long, value double"), grown, path, [(6, 7)])
+    got = {r.d0: r.value for r in chunked.read_chunk_table(spark, grown, path).collect()}
+    assert got == {0: 0.0, 1: 1.0, 2: 2.0, 3: 3.0, 4: 0.0, 5: 0.0, 6: 60.0, 7: 0.0}
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(Exception, match="another shape"):
+        chunked.read_chunk_table(spark, ArraySpec((8,), (5,), "float64"), path).collect()
+
+
+def test_sparse_chunk_table_has_only_chunks_with_cells(spark, tmp_path):
+    spec, path = ArraySpec((1_000_000, 1_000_000), (100, 100), "float64"), str(tmp_path / "t")
+    cells = spark.createDataFrame([(5, 5, 1.0), (999_999, 7, 2.0)], "d0 long, d1 long, value double")
+    chunked.write_chunk_table(cells, spec, path)
+    got = chunked.read_chunk_table(spark, spec, path)
+    assert got.count() == 20_000 and {(r.d0, r.d1, r.value) for r in got.where("value > 0").collect()} == {(5, 5, 1.0), (999_999, 7, 2.0)}
+    a = ChunkedArray(spec, cells)
+    found = {(r.c0, r.c1): r.data for r in a.blocks((0, 0), (50, 150)).collect()}
+    assert set(found) == {(0, 0), (0, 1)} and found[0, 0][505] == 1.0 and set(found[0, 1]) == {0.0}
+    mask = spark.createDataFrame([(5, 5, True), (5, 6, True), (5, 7, False)], "d0 long, d1 long, m boolean")
+    assert {(r.flat, r.value) for r in a.mask(mask).collect()} == {(5_000_005, 1.0), (5_000_006, 0.0)}
+
+
+def test_array_in_a_file_system(spark, tmp_path):
+    uri = f"file://{tmp_path}/a"
+    s = stores.open_store(uri, "filesystem")
+    assert s.get("x/y") is None and not s.exists()
+    s.put("x/y", b"1")
+    s.put("x/y", b"2")
+    assert s.get("x/y") == b"2" and s.get("x") is None and list(s.keys()) == ["x/y"]
+    s.delete("x/y")
+    s.delete("x/y")
+    assert not s.exists() and stores.kind_of("s3://b/a.zip") == "filesystem" and stores.kind_of("file:///a") == "directory"
+    spec = ArraySpec((10, 7), (4, 3), "int32", version=3)
+    cells = spark.range(70).selectExpr("id div 7 as d0", "id % 7 as d1", "cast(id as int) as value")
+    chunked.write(cells, spec, uri, "filesystem")
+    got = {(r.d0, r.d1, r.value) for r in chunked.scan(spark, uri, backend="filesystem").where("d0 >= 3 and d1 < 5").collect()}
+    assert got == {(i // 7, i % 7, i) for i in range(70) if i // 7 >= 3 and i % 7 < 5}
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from gridloom.streaming.append import windowed_stats
+
+    source, seen = str(tmp_path / "in"), []
+    kind = "ts timestamp, value double"
+
+    def add(*rows):
+        spark.sql("select " + ", ".join(f"timestamp'{t}' as ts, cast({v} as double) as value" for t, v in rows[:1])).write.mode("append").parquet(source)
+        events = spark.readStream.schema(kind).parquet(source)
+        stats = windowed_stats(events, "ts", "value", "1 hour", "10 minutes")
+        stats.writeStream.foreachBatch(lambda b, e: seen.extend((str(r.window.start), r.n) for r in b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination(60)
+
+    add(("2024-01-01 00:30:00", 1))
+    add(("2024-01-01 05:00:00", 2))
+    add(("2024-01-01 00:40:00", 3))  # its window is closed
+    add(("2024-01-01 09:00:00", 4))
+    assert seen == [("2024-01-01 00:00:00", 1), ("2024-01-01 05:00:00", 1)]
