@@ -1,20 +1,24 @@
 """Exact BM25 top-k search: sharded inverted index with block-max pruning.
 
-Documents are spread over shards of about SHARD_BYTES of text. A shard's index is one
-row of a table (term hashes, postings, lengths); documents that look alike stand
-together in it, in blocks of BLOCK. For a query, the postings of its rarer terms are
-added up, and the block maxima of its frequent terms bound what a block can still
-reach. Blocks are visited from the highest bounds down, for a group of queries at a
-time, and scored for those queries only whose k-th score so far the bound reaches:
-blocks that can't matter to a query are never scored for it, and nothing else is left
-out. Each query's threshold starts from its k-th score in the first shard.
+Documents are spread over shards of about SHARD_BYTES of text. A shard's index is some
+rows of a table (term hashes, postings, lengths), one for each piece: documents that
+look alike, such as those of one language, in blocks of BLOCK. For a group of queries,
+the postings of a piece's rarer terms are added up, and the block maxima of its
+frequent terms bound what a block can still reach. Blocks are visited from the highest
+bounds down, for those queries only whose k-th score so far the bound reaches: a
+product of matrices in single precision, with room for its rounding, names the
+candidates, which are then scored in double precision. Blocks that can't matter to a
+query are never scored for it, and nothing else is left out. One shard in OPENING is
+searched first; each query's threshold in all others starts from its k-th score there,
+and rises within a task.
 
 Scores use global statistics (number of documents, mean length, document
 frequencies), so the shards' top-k merge exactly.
 
-Scale: one shuffle of the texts; the index is read once per block of QUERIES queries,
-which is all that is broadcast. Document frequencies are an aggregate over shard
-vocabularies joined to query terms.
+Scale: one shuffle of the texts; the index is read twice per block of QUERIES queries,
+which is all that is broadcast. A task returns k rows a query at most, whatever the
+number of its shards. Document frequencies are an aggregate over shard vocabularies
+joined to query terms. Every query meets every document, so the work is quadratic.
 """
 
 from __future__ import annotations
@@ -31,17 +35,65 @@ from .store import materialise, ship
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES, BLOCK, QUERIES = 16 << 20, 128, 2048
-#: Queries that a shard takes together, and the blocks after which their thresholds rise.
-GROUP, REFRESH = 128, 8
-#: Terms of a shard that are held as dense rows: the most frequent ones.
-DENSE = 512
+SHARD_BYTES, BLOCK = 16 << 20, 256
+#: Queries, and terms of all of them, that are sent to the shards together; one shard in OPENING is searched first, for the others' thresholds.
+QUERIES, ENTRIES, OPENING = 8192, 4 << 20, 16
+#: Scores that a piece holds for a group of queries, the most queries of a group, the blocks after which their thresholds rise, and pairs and postings that are scored at once.
+CELLS, GROUP, REFRESH, CANDIDATES, POSTINGS = 1 << 20, 512, 4, 1024, 1 << 15
+#: Terms of a piece that are held as dense columns: at most so many, so many cells in all, each term in such a share of the documents.
+DENSE, DENSE_CELLS, SHARE = 1024, 1 << 23, 0.05
+#: Words that tell what documents look alike, most pieces of a shard, and the similarity from which two are one.
+FEATURES, PIECES, ALIKE = 64, 8, 0.8
 #: Scores that differ by less are ties, which the smaller id wins.
 DIGITS = 6
 
 
-def build(docs: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> dict[str, bytes]:
-    """The index of one shard from slices (bytes, offsets) of its texts, in order of ids."""
+def kinds(x: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """A number below PIECES for each row of x (documents by frequent words), the same for rows that look alike. Speed depends on it, results don't."""
+    out = np.zeros(len(x), dtype=np.int64)
+    if not len(x):
+        return out
+    _, of, count = np.unique(lead, return_inverse=True, return_counts=True)
+    first = np.argsort(-count, kind="stable")[: 2 * PIECES]
+    rows = [np.flatnonzero(of == i) for i in first]
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)  # FEATURES floats a document
+    for _ in range(4):
+        rows = [r for r in rows if len(r)]
+        centre = np.stack([unit[r].sum(axis=0) for r in rows])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        label = np.argmax(unit @ centre.T, axis=1)
+        rows = [np.flatnonzero(label == i) for i in range(len(rows))]
+    rows = [r for r in rows if len(r)]
+    while len(rows) > 1:
+        centre = np.stack([unit[r].sum(axis=0) for r in rows])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        near = centre @ centre.T
+        np.fill_diagonal(near, -1)
+        least = int(np.argmin([len(r) for r in rows]))
+        i, j = np.unravel_index(int(np.argmax(near)), near.shape)
+        if near[i, j] < ALIKE:
+            if len(rows) <= PIECES and len(rows[least]) * 2 * PIECES >= len(x):
+                break
+            i, j = least, int(np.argmax(near[least]))
+        i, j = min(i, j), max(i, j)
+        rows[i] = np.concatenate((rows[i], rows.pop(j)))
+    for i, r in enumerate(rows):
+        out[r] = i
+    return out
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _numbers(data, n: int) -> np.ndarray:
+    """The n numbers in a result of _small."""
+    return np.frombuffer(data, dtype=f"u{len(memoryview(data).cast('B')) // max(1, n) or 1}")
+
+
+def build(docs: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> list[dict[str, bytes]]:
+    """The index of one shard from slices (bytes, offsets) of its texts, in order of ids: a row for each piece, documents that look alike."""
     hashes, lengths = [], []
     for data, offsets in docs:
         starts, ends, first = K.words(data, offsets, K.ALNUM)
@@ -63,121 +115,199 @@ def build(docs: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> dict[st
     lead = np.zeros(len(length), dtype=np.uint64)
     heads = best[np.flatnonzero(np.diff(doc[best], prepend=-1))] if len(best) else best
     lead[doc[heads]] = h[heads]
-    layout = np.lexsort((ids, length, lead))
-    place = np.empty(len(layout), dtype=np.uint32)
-    place[layout] = np.arange(len(layout), dtype=np.uint32)
-    doc = place[doc]
-    resort = np.lexsort((doc, h))
-    h, doc, tf = h[resort], doc[resort], tf[resort]
-    begins = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0) if len(h) else np.zeros(0, dtype=np.int64)
-    return {"terms": h[begins].tobytes(), "begins": np.append(begins, len(h)).astype(np.int64).tobytes(), "docs": doc.tobytes(), "tf": tf.tobytes(), "ids": ids[layout].astype(np.int64).tobytes(), "lengths": length[layout].tobytes()}
+    begins = np.append(np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0), len(h))
+    df = np.diff(begins)
+    x = np.zeros((len(length), FEATURES), dtype=np.float32)
+    for i, t in enumerate(np.argsort(-df, kind="stable")[:FEATURES].tolist()):
+        x[doc[begins[t] : begins[t + 1]], i] = 1
+    kind = kinds(x, lead)
+    del x, best
+    out = []
+    for piece in range(int(kind.max(initial=0)) + 1):
+        own = np.flatnonzero(kind == piece)
+        layout = own[np.lexsort((ids[own], length[own], lead[own]))]
+        place = np.full(len(length), -1, dtype=np.int64)
+        place[layout] = np.arange(len(layout))
+        here = np.flatnonzero(place[doc] >= 0)
+        here = here[np.lexsort((place[doc[here]], h[here]))]
+        term = h[here]
+        first = np.flatnonzero(np.diff(term, prepend=term[:1] ^ np.uint64(1)) != 0)
+        out.append({"terms": term[first].tobytes(), "begins": _small(np.append(first, len(term))), "docs": _small(place[doc[here]]), "tf": _small(tf[here]), "ids": ids[layout].astype(np.int64).tobytes(), "lengths": length[layout].tobytes()})
+    return out
+
+
+def best_of(q: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, in order; score is rounded, so that ties go to the smaller id."""
+    order = np.lexsort((doc, -score, q))
+    q = q[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], doc[order[top]], score[order[top]]
+
+
+def _spans(begins: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from begins[i] to begins[i + 1] for each i in which, one after the other, and how many each has."""
+    a = begins[which]
+    size = begins[which + 1] - a
+    stop = np.cumsum(size)
+    where = np.repeat(a - (stop - size), size)
+    where += np.arange(len(where))
+    return where, size
 
 
 class Shard:
-    """A shard's index, ready to search: impacts, dense rows of frequent terms and their block maxima."""
+    """A piece of a shard's index, ready to search with a block of queries: gains by posting, a dense matrix of frequent terms and its block maxima."""
 
-    def __init__(self, row: dict[str, bytes], mean: float):
-        self.terms = np.frombuffer(row["terms"], dtype=np.uint64)
-        self.begins = np.frombuffer(row["begins"], dtype=np.int64)
-        self.docs = np.frombuffer(row["docs"], dtype=np.uint32).astype(np.int32)
-        self.ids = np.frombuffer(row["ids"], dtype=np.int64)
+    def __init__(self, row: dict[str, bytes], mean: float, block: Block):
+        terms, self.ids = np.frombuffer(row["terms"], dtype=np.uint64), np.frombuffer(row["ids"], dtype=np.int64)
+        begins = _numbers(row["begins"], len(terms) + 1).astype(np.int64)
+        docs, counts = _numbers(row["docs"], begins[-1]), _numbers(row["tf"], begins[-1])
         length = np.frombuffer(row["lengths"], dtype=np.int64)
-        tf = np.frombuffer(row["tf"], dtype=np.uint32).astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[self.docs])
-        self.n = len(self.ids)
+        self.block, self.n = block, len(self.ids)
         self.blocks = -(-self.n // BLOCK)
-        df = np.diff(self.begins)
-        common = np.sort(np.argsort(-df, kind="stable")[:DENSE])
-        self.row_of = np.full(len(self.terms), -1, dtype=np.int64)
-        self.row_of[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, len(common), BLOCK))
-        for r, t in enumerate(common.tolist()):
-            span = slice(self.begins[t], self.begins[t + 1])
-            d = self.docs[span]
-            self.dense[d // BLOCK, r, d % BLOCK] = self.impact[span]
-        self.block_max = self.dense.max(axis=2) if self.blocks else np.zeros((0, len(common)))
-
-    def search(self, block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, score) of the k best documents of each query with a score above 0 and not below its floor; ties by id."""
-        if not self.n or not len(self.terms) or not len(block.terms):
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, np.zeros(0)
-        at = np.minimum(np.searchsorted(self.terms, block.terms), len(self.terms) - 1)
-        at[self.terms[at] != block.terms] = -1
-        out = []
-        for first in range(0, len(block.ids), GROUP):
-            last = min(first + GROUP, len(block.ids))
-            own = slice(block.begins[first], block.begins[last])
-            q = np.repeat(np.arange(last - first), np.diff(block.begins[first : last + 1]))
-            term, weight = at[block.which[own]], block.weights[own]
-            here = term >= 0
-            out.append(self._group(block.ids[first:last], block.floors[first:last], q[here], term[here], weight[here], k))
+        # Only terms that some query has.
+        place = np.minimum(np.searchsorted(block.terms, terms), max(0, len(block.terms) - 1))
+        own = np.flatnonzero(block.terms[place] == terms) if len(block.terms) else place[:0]
+        self.at = np.full(len(block.terms), -1, dtype=np.int32)
+        self.at[place[own]] = np.arange(len(own))
+        held, df = _spans(begins, own)
+        self.begins = np.concatenate(([0], np.cumsum(df)))
+        self.docs = docs[held].astype(np.int64)
+        tf = counts[held].astype(np.float64)
+        norm = (K1 * (1 - B + B * length / max(mean, 1e-9)))[self.docs]
+        norm += tf
+        self.gain = tf * (K1 + 1) / norm
+        self.gain *= np.repeat(block.weights[place[own]], df)
+        common = np.sort(np.argsort(-df, kind="stable")[: min(DENSE, DENSE_CELLS // max(1, self.blocks * BLOCK))])
+        common = common[df[common] >= SHARE * self.n]
+        self.column = np.full(len(own), -1, dtype=np.int64)
+        self.column[common] = np.arange(len(common))
+        # Postings of dense terms by document: double precision scores the candidates that single precision finds.
+        where, size = _spans(self.begins, common)
+        doc, column = self.docs[where], np.repeat(np.arange(len(common)), size)
+        order = np.argsort(doc.astype(np.uint16) if self.n < 1 << 16 else doc, kind="stable")
+        self.own_columns, self.own_gain = column[order], self.gain[where[order]]
+        self.own_begins = np.searchsorted(doc[order], np.arange(self.n + 1))
+        # All summands are positive: a sum's relative error is below the number of roundings times their size.
+        self.error = (len(common) + 8) * 2.0**-23
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)), dtype=np.float32)
+        self.dense[doc, column] = self.gain[where] * (1 + 2 * self.error)  # a little more than the exact scores, whatever the rounding
+        self.block_max = self.dense.reshape(self.blocks, BLOCK, len(common)).max(axis=1)
+
+    def search(self, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of the k best documents of each query with a score above 0 and not below its floor; ties by id."""
+        none = np.zeros(0, dtype=np.int64)
+        out = [(none, none, np.zeros(0))]
+        begins = self.block.begins
+        size = max(1, min(GROUP, CELLS // max(1, self.blocks * BLOCK)))
+        for first in range(0, len(self.block.ids), size):
+            last = min(first + size, len(self.block.ids))
+            term = self.at[self.block.which[begins[first] : begins[last]]]
+            here = np.flatnonzero(term >= 0)
+            if len(here):
+                q = np.repeat(np.arange(last - first), np.diff(begins[first : last + 1]))[here]
+                found, doc, score = self._group(floors[first:last], q, term[here], k)
+                out.append((found + first, doc, score))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _group(self, ids, floors, q, term, weight, k):
-        n, width, slack = len(ids), self.blocks * BLOCK, 10.0**-DIGITS
-        row = self.row_of[term]
-        frequent = row >= 0
-        w = np.zeros((n, self.dense.shape[1]))
-        w[q[frequent], row[frequent]] = weight[frequent]
-        rare, rw, rq = term[~frequent], weight[~frequent], q[~frequent]
-        a = self.begins[rare]
-        size = self.begins[rare + 1] - a
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        where = np.repeat(a - (stop - size), size)
-        where += np.arange(total)
-        cell = np.repeat(rq * width, size)
-        cell += self.docs[where]
-        gain = np.repeat(rw, size)
-        gain *= self.impact[where]
-        score = np.bincount(cell, gain, n * width).reshape(n, self.blocks, BLOCK)
-        bound = score.max(axis=2) + w @ self.block_max.T
-        floor = np.maximum(floors - slack, 0.0)
-        found_q, found_d, found_s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    def _sparse(self, n: int, q: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Scores of all documents by the terms that aren't dense."""
+        width = self.blocks * BLOCK
+        out = np.empty((n, width))
+        entries = np.searchsorted(q, np.arange(n + 1))
+        total = np.concatenate(([0], np.cumsum(self.begins[term + 1] - self.begins[term])))[entries]
+        first = 0
+        while first < n:  # so many queries at once that the working set stays in cache
+            last = max(first + 1, int(np.searchsorted(total, total[first] + POSTINGS, "right")) - 1)
+            own = slice(entries[first], entries[last])
+            where, size = _spans(self.begins, term[own])
+            cell = np.repeat((q[own] - first) * width, size)
+            cell += self.docs.take(where, mode="clip")
+            out[first:last] = np.bincount(cell, self.gain.take(where, mode="clip"), (last - first) * width).reshape(-1, width)
+            first = last
+        return out
+
+    def _exact(self, has: np.ndarray, q: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a query and a document by the dense terms."""
+        where, size = _spans(self.own_begins, doc)
+        cell = np.repeat(q * has.shape[1], size)
+        cell += self.own_columns[where]
+        return np.bincount(np.repeat(np.arange(len(q)), size), has.reshape(-1)[cell] * self.own_gain[where], len(q))
+
+    def _group(self, floors: np.ndarray, q: np.ndarray, term: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, slack = len(floors), 10.0**-DIGITS
+        column = self.column[term]
+        rare = column < 0
+        score = self._sparse(n, q[rare], term[rare])
+        has = np.zeros((n, self.dense.shape[1]), dtype=np.float32)
+        has[q[~rare], column[~rare]] = 1
+        used = np.flatnonzero(has.any(axis=0))
+        asked, dense, most = has, self.dense, self.block_max
+        if 2 * len(used) < has.shape[1]:
+            asked, dense, most = has[:, used], dense[:, used], most[:, used]
+        bound = score.reshape(n, self.blocks, BLOCK).max(axis=2) + asked @ most.T
+        floor = np.maximum(floors - slack, np.nextafter(0, 1))
+        found = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
         fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for step, b in enumerate(np.argsort(-bound.sum(axis=0), kind="stable").tolist(), 1):
             active = np.flatnonzero(bound[:, b] >= floor)
             if len(active):
-                got = score[active, b] + w[active] @ self.dense[b]
-                i, d = np.nonzero((got >= floor[active, None]) & (got > 0))
-                fresh.append((active[i], d + b * BLOCK, got[i, d]))
+                span = slice(b * BLOCK, (b + 1) * BLOCK)
+                rows = slice(None) if len(active) == n else active
+                got = asked[rows] @ dense[span].T + score[rows, span]
+                at = np.flatnonzero(got >= floor[active, None])
+                i = at // BLOCK
+                count = np.bincount(i, minlength=len(active))
+                many = np.flatnonzero(count > k) if k < BLOCK else ()
+                if len(many):
+                    kth = np.partition(got[many], BLOCK - k, axis=1)[:, BLOCK - k]
+                    floor[active[many]] = np.maximum(floor[active[many]], kth * (1 - 4 * self.error) - slack)
+                    keep = got.reshape(-1)[at] >= floor[active[i]]
+                    at, i = at[keep], i[keep]
+                fresh.append((active[i], at % BLOCK + b * BLOCK, got.reshape(-1)[at]))
             if fresh and (step % REFRESH == 0 or step == self.blocks):
-                found_q, found_d, found_s = (np.concatenate((x, *y)) for x, y in zip((found_q, found_d, found_s), zip(*fresh, strict=True), strict=True))
+                i, d, upper = (np.concatenate((x, *y)) for x, y in zip(found, zip(*fresh, strict=True), strict=True))
                 fresh = []
-                order = np.lexsort((-found_s, found_q))
-                found_q, found_d, found_s = found_q[order], found_d[order], found_s[order]
-                begin = np.searchsorted(found_q, np.arange(n + 1))
+                order = np.lexsort((-upper, i))
+                i, d, upper = i[order], d[order], upper[order]
+                begin = np.searchsorted(i, np.arange(n + 1))
                 full = np.flatnonzero(np.diff(begin) >= k)
-                floor[full] = np.maximum(floor[full], found_s[begin[full] + k - 1] - slack)
-                keep = found_s >= floor[found_q]
-                found_q, found_d, found_s = found_q[keep], found_d[keep], found_s[keep]
-        doc, rounded = self.ids[found_d], np.round(found_s, DIGITS)
-        order = np.lexsort((doc, -rounded, found_q))
-        found_q, doc, rounded = found_q[order], doc[order], rounded[order]
-        rank = np.arange(len(found_q)) - np.searchsorted(found_q, found_q)
-        top = rank < k
-        return ids[found_q[top]], doc[top], rounded[top]
+                floor[full] = np.maximum(floor[full], upper[begin[full] + k - 1] * (1 - 4 * self.error) - slack)
+                keep = upper >= floor[i]
+                found = (i[keep], d[keep], upper[keep])
+        i, d, _ = found
+        exact = [score[x, y] + self._exact(has, x, y) for x, y in ((i[c : c + CANDIDATES], d[c : c + CANDIDATES]) for c in range(0, len(i), CANDIDATES))]
+        return best_of(i, self.ids[d], np.round(np.concatenate(exact), DIGITS) if exact else np.zeros(0), k)
+
+
+def kth_scores(q: np.ndarray, doc: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th score of each of n queries in a result of best_of; 0 where there are fewer."""
+    begin = np.searchsorted(q, np.arange(n + 1))
+    full = np.flatnonzero(np.diff(begin) >= k)
+    out = np.zeros(n)
+    out[full] = score[begin[full] + k - 1]
+    return out
 
 
 class Block:
-    """Queries that are sent to all shards together: distinct terms once, and each query's terms by number."""
+    """Queries that are sent to all shards together, those of like words next to each other: distinct terms once, and each query's terms by number."""
 
     def __init__(self, queries: list[tuple[int, np.ndarray, np.ndarray]]):
-        self.ids = np.array([x[0] for x in queries], dtype=np.int64)
-        self.begins = np.concatenate(([0], np.cumsum([len(x[1]) for x in queries]))).astype(np.int64)
         terms = np.concatenate([x[1] for x in queries]) if queries else np.zeros(0, dtype=np.uint64)
-        self.terms, which = np.unique(terms, return_inverse=True)
-        self.which = which.astype(np.int32)
-        self.weights = np.concatenate([x[2] for x in queries]) if queries else np.zeros(0)
-        self.floors = np.zeros(len(queries))
+        weights = np.concatenate([x[2] for x in queries]) if queries else np.zeros(0)
+        self.terms, first = np.unique(terms, return_index=True)
+        self.weights = weights[first]  # a term weighs the same in all queries
+        common = [int(x[1][np.argmin(x[2])]) if len(x[1]) else 0 for x in queries]
+        order = sorted(range(len(queries)), key=lambda i: (common[i], len(queries[i][1])))
+        self.ids = np.array([queries[i][0] for i in order], dtype=np.int64)
+        self.begins = np.concatenate(([0], np.cumsum([len(queries[i][1]) for i in order]))).astype(np.int64)
+        self.which = np.searchsorted(self.terms, np.concatenate([queries[i][1] for i in order]) if queries else terms).astype(np.int32)
 
 
 _INDEX = "shard long, terms binary, begins binary, docs binary, tf binary, ids binary, lengths binary"
 
 
 def index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs (id, text) -> one row per shard."""
+    """docs (id, text) -> one row per shard and piece."""
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     shards = max(1, math.ceil(max(size[0] or 0, 64 * size[1]) / shard_bytes))
 
@@ -185,8 +315,8 @@ def index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         text = table.column("text").combine_chunks().take(pa.array(order))
-        row = build([(data, offsets) for _, _, data, offsets in K.text_slices(text)], ids[order])
-        return pa.table({"shard": [table.column("shard")[0].as_py()]} | {k: pa.array([v], pa.binary()) for k, v in row.items()})
+        rows = build([(data, offsets) for _, _, data, offsets in K.text_slices(text)], ids[order])
+        return pa.table({"shard": [table.column("shard")[0].as_py()] * len(rows)} | {k: pa.array([r[k] for r in rows], pa.binary()) for k in rows[0]})
 
     spread = docs.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)))
     return materialise(spread.groupBy("shard").applyInArrow(run, _INDEX), "index")
@@ -196,7 +326,8 @@ def _document_frequencies(shards: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for terms, begins in zip(batch.column(0), batch.column(1), strict=True):
-                t, b = np.frombuffer(terms.as_buffer(), dtype=np.int64), np.frombuffer(begins.as_buffer(), dtype=np.int64)
+                t = np.frombuffer(terms.as_buffer(), dtype=np.int64)
+                b = _numbers(begins.as_buffer(), len(t) + 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.diff(b))], names=["term", "df"])
 
     return shards.select("terms", "begins").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
@@ -218,14 +349,23 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, "qid long, term long").distinct()
 
 
-def _searched(shards: DataFrame, block, mean: float, k: int) -> DataFrame:
+def _searched(shards: DataFrame, block, floors, mean: float, k: int) -> DataFrame:
+    """The k best documents of each query in each partition of shards, as far as they reach the floors."""
+
     def run(batches):
-        queries = block.value
+        queries, least = block.value, floors.value.copy()
+        none = np.zeros(0, dtype=np.int64)
+        best, fresh, held = (none, none, np.zeros(0)), [], 0
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Shard({c: batch.column(j)[row].as_buffer() for j, c in enumerate(batch.schema.names) if c != "shard"}, mean)
-                q, d, s = shard.search(queries, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "score"])
+                data = {c: batch.column(j)[row].as_buffer() for j, c in enumerate(batch.schema.names) if c != "shard"}
+                fresh.append(Shard(data, mean, queries).search(least, k))  # no name: one piece is held at a time
+                held += len(fresh[-1][0])
+                if 2 * held > k * len(queries.ids):
+                    best, fresh, held = best_of(*(np.concatenate(x) for x in zip(best, *fresh, strict=True)), k), [], 0
+                    least = np.maximum(least, kth_scores(*best, len(least), k))
+        q, d, s = best_of(*(np.concatenate(x) for x in zip(best, *fresh, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "score"])
 
     return shards.mapInArrow(run, "query_id long, doc_id long, score double")
 
@@ -262,23 +402,30 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_
 
     def search(queries: list) -> None:
         block = Block(queries)
-        opening = _searched(shards.where("shard = 0"), spark.sparkContext.broadcast(block), mean, k)
-        kth = {r.query_id: r.floor for r in opening.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect()}
-        block.floors = np.array([kth.get(q, 0.0) for q in block.ids.tolist()])
-        results.append(materialise(_searched(shards, spark.sparkContext.broadcast(block), mean, k), "found"))
+        sent = spark.sparkContext.broadcast(block)
+        of = lambda floors: spark.sparkContext.broadcast(floors)
+        first = F.col("shard") % OPENING == 0
+        opening = materialise(_searched(shards.where(first), sent, of(np.zeros(len(block.ids))), mean, k), "found")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        kth = opening.withColumn("_gl_rank", rank).where(F.col("_gl_rank") == k).select("query_id", "score").toArrow()
+        at = dict(zip(kth["query_id"].to_pylist(), kth["score"].to_pylist(), strict=True))
+        floors = np.array([at.get(q, 0.0) for q in block.ids.tolist()])
+        results.extend((opening, materialise(_searched(shards.where(~first), sent, of(floors), mean, k), "found")))
 
     held: list = []
+    entries = 0
     for r in ready.toLocalIterator():  # streams the queries; one block of them is held
         held.append((r.qid, np.array(r.term, dtype=np.int64).view(np.uint64), np.array(r.weight)))
-        if len(held) >= QUERIES:
+        entries += len(r.term)
+        if len(held) >= QUERIES or entries >= ENTRIES:
             search(held)
-            held = []
+            held, entries = [], 0
     if held or not results:
         search(held)
     found = results[0]
     for x in results[1:]:
         found = found.union(x)
-    # At most k rows of each shard for a query.
+    # At most k rows of each task for a query.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
