@@ -1,8 +1,8 @@
 """Packing of tokenised documents into sequences, by lexical retrieval.
 
 Documents are spread over shards of about SHARD_BYTES of text. Each shard builds a
-BM25 inverted index over its token ids; a seed document's best unused neighbours
-fill its window, the one that is cut at the window's end seeds the next, and so on,
+BM25 inverted index over its token ids; a seed document's best unused neighbours, by
+all terms that it shares with others, fill its window, the one that is cut at the window's end seeds the next, and so on,
 so windows hold lexically close documents and are full. Only a shard's last tokens
 don't fill a window: they become sequences of powers of two, which need no padding.
 
@@ -26,8 +26,10 @@ from .store import ship
 
 WINDOW, END = 2048, 1
 SHARD_BYTES = 8 << 20
-#: The terms of a seed that its query uses (its heaviest by tf and idf), and how many neighbours one retrieval returns.
-QUERY_TERMS, NEIGHBOURS = 12, 8
+#: How many neighbours one retrieval returns; a window that needs more asks again for the next ones.
+NEIGHBOURS = 8
+#: Terms in at least one of so many documents of a shard have their scores as a dense row: at most 4 * COMMON bytes a posting.
+COMMON = 16
 K1, B = 1.2, 0.75
 #: Words whose ids a worker process keeps, at some 30 bytes each.
 CACHE = 2_000_000
@@ -171,28 +173,35 @@ class Index:
         df = np.bincount(term) if len(term) else np.zeros(1, dtype=np.int64)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         mean = max(1.0, lengths.mean()) if n else 1.0
-        self.weight = (idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)))).astype(np.float32)
-        self.weight_as_query = np.where(df[term] > 1, self.weight, 0)
-        self.terms = term
+        weight = (idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)))).astype(np.float32)
+        self.terms, self.shared = term, df[term] > 1
         order = np.argsort(term, kind="stable")
-        self.docs, self.scores = doc[order], self.weight[order]
+        self.docs, self.scores = doc[order], weight[order]
         self.start = np.zeros(len(df) + 1, dtype=np.int64)
         np.cumsum(df, out=self.start[1:])
+        common = np.flatnonzero((df > 1) & (COMMON * df >= n))
+        self.row = np.full(len(df), -1, dtype=np.int64)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), dtype=np.float32)
+        at = self.row[term]
+        self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
 
     def neighbours(self, seed: int, used: np.ndarray, most: int = NEIGHBOURS) -> list[int]:
-        """The best unused documents for a seed by score, then place; those that share none of its query terms don't count."""
-        a, b = self.of_doc[seed], self.of_doc[seed + 1]
-        w = self.weight_as_query[a:b]
-        pick = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-        terms = self.terms[a:b][pick[w[pick] > 0]]
+        """The best unused documents for a seed by score, then place; those that share no term with it don't count."""
+        own = slice(self.of_doc[seed], self.of_doc[seed + 1])
+        terms = self.terms[own][self.shared[own]]
         if not len(terms):
             return []
-        spans = [slice(x, y) for x, y in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), self.n)
+        row = self.row[terms]
+        score = self.dense[row[row >= 0]].sum(axis=0)
+        rare = terms[row < 0]
+        if len(rare):
+            spans = [slice(x, y) for x, y in zip(self.start[rare].tolist(), self.start[rare + 1].tolist(), strict=True)]
+            score = score + np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), self.n)
         score[used] = 0
-        best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
+        least = np.partition(score, self.n - most)[self.n - most] if self.n > most else 0
+        best = np.flatnonzero((score >= least) & (score > 0))
+        return best[np.lexsort((best, -score[best]))][:most].tolist()
 
 
 def chain(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[int]:
