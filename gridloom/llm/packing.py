@@ -13,7 +13,9 @@ task holds one shard. Ids are made after the shuffle, where they are used.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ NEIGHBOURS = 8
 #: Terms in at least one of so many documents of a shard have their scores as a dense row: at most 4 * COMMON bytes a posting.
 COMMON = 16
 K1, B = 1.2, 0.75
-#: Words whose ids a worker process keeps, at some 30 bytes each.
+#: Units whose ids a worker process keeps, at some 60 bytes each.
 CACHE = 2_000_000
+#: Units or pieces that are encoded as one text.
+RUN = 1000
 
 #: The word pattern of that vocabulary; pieces are encoded independently of each other.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -40,14 +44,74 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: ASCII white space, and all beyond U+00FF. 0xC2 leads U+0080 to U+00BF, among which only letters and plain signs can be split like this.
 _ODD = np.zeros(256, dtype=bool)
 _ODD[0x1C:0x20] = _ODD[0xC4:] = True
+#: Classes of bytes: white space, ASCII letter, end of a letter from U+00C0 on, its lead, digit, sign, apostrophe, and what isn't told apart
+#: (U+0080 to U+00BF, and the signs among the letters).
+_SPACE, _ASCII, _TAIL, _LEAD, _DIGIT, _SIGN, _QUOTE, _OTHER = range(8)
+_CLASS = np.full(256, _SIGN, dtype=np.uint8)
+_CLASS[[32, *range(9, 14)]] = _SPACE
+_CLASS[65:91] = _CLASS[97:123] = _ASCII
+_CLASS[48:58] = _DIGIT
+_CLASS[39] = _QUOTE
+_CLASS[0x80:0xC0] = _TAIL
+_CLASS[0xC3] = _LEAD
+_CLASS[[0xC2, 0x97, 0xB7]] = _OTHER
+#: By the classes of two neighbouring bytes: 1 if a unit starts at the second, 2 if one ends with the first. Inside of words units are cut
+#: only where pieces end whatever stands around: at digits, after letters before signs, and after signs before letters unless an apostrophe
+#: may join them.
+_CUT = np.zeros((8, 8), dtype=np.uint8)
+_CUT[_SPACE, 1:] = 1
+_CUT[1:, _SPACE] = 2
+_CUT[_DIGIT, 1:] = _CUT[1:, _DIGIT] = 3
+for _letter in (_ASCII, _TAIL):
+    _CUT[_letter, _SIGN] = _CUT[_letter, _QUOTE] = 3
+_CUT[_SIGN, _ASCII] = 3
+_CUT = _CUT.reshape(-1)
+#: Units whose bytes are all of one of these kinds are one piece each: letters, signs, a digit.
+_KIND = np.zeros(8, dtype=np.uint8)
+_KIND[[_ASCII, _TAIL, _LEAD]], _KIND[_SIGN], _KIND[_DIGIT], _KIND[[_QUOTE, _OTHER]] = 1, 2, 4, 8
+#: The character that stands for each byte in the vocabulary, of lower-cased letters up to U+00FF.
+_plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHAR = np.zeros(256, dtype="<u2")
+_CHAR[_plain] = _plain
+_CHAR[np.setdiff1d(np.arange(256), _plain)] = 256 + np.arange(256 - len(_plain))
+_CHAR[65:91] = _CHAR[97:123]
+_CHAR[0x80:0x9F] = _CHAR[0xA0:0xBF]
+_CHAR[32] = 32
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of runs that hold whole pieces, the first run's number of each document (one entry more than documents), and the bytes' classes."""
+    classes = np.zeros(len(data) + 2, dtype=np.uint8)
+    classes[1:-1] = _CLASS[data]
+    after = np.flatnonzero(data == 0xC2) + 2
+    classes[after] = _OTHER
+    cut = _CUT[classes[:-1] << 3 | classes[1:]]
+    cut[offsets] = (classes[offsets + 1] != _SPACE) | (classes[offsets] != _SPACE).view(np.uint8) << 1
+    starts, ends = np.flatnonzero((cut & 1).view(bool)), np.flatnonzero((cut >> 1).view(bool))
+    return starts, ends, np.searchsorted(starts, offsets), classes[1:-1]
+
+
+def _joined(data: np.ndarray, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of units with a space behind each, how many each has with it, and the kinds of its bytes."""
+    room = ends - starts + 1
+    stop = np.cumsum(room)
+    at = np.minimum(np.repeat(starts - (stop - room), room) + np.arange(stop[-1]), len(data) - 1)
+    text, kind = data[at], _KIND[classes[at]]
+    text[stop - 1], kind[stop - 1] = 32, 0
+    return text, room, np.bitwise_or.reduceat(kind, stop - room)
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """An array with room for n values."""
+    return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)))
 
 
 class Encoder:
-    """Token ids of whole texts, with a bounded cache: sorted word hashes, and the ids of each word."""
+    """Token ids of whole texts, with a bounded cache: a hash table of units, and the ids of each unit."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         own = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path or own)
@@ -56,99 +120,161 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        # The same merges alone, for pieces that are normalised and split already.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.begin = np.zeros(0, dtype=np.int64)
-        self.count = np.zeros(0, dtype=np.int32)
-        self.flat = np.zeros(0, dtype=np.uint16)
-
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of pieces and how many each has; encoded many at a time, as the last id of each says that it ends a word."""
-        runs = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        self.known = 0
+        self.table = np.zeros(1 << 16, dtype=np.uint64)
+        self.unit = np.full(1 << 16, -1, dtype=np.int32)
+        self.keys = np.zeros(1 << 15, dtype=np.uint64)
+        self.begin = np.zeros((1 << 15) + 1, dtype=np.int64)
+        self.flat = np.zeros(1 << 17, dtype=np.uint16)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The known unit of each hash, or -1."""
+        last = len(self.table) - 1
+        at = (h & np.uint64(last)).astype(np.int64)
+        out = self.unit[at]
+        left = np.flatnonzero((self.table[at] != h) & (out >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & last
+            out[left] = got = self.unit[at]
+            on = (self.table[at] != h[left]) & (got >= 0)
+            left, at = left[on], at[on]
+        return out
+
+    def _place(self, units: np.ndarray) -> None:
+        last = len(self.table) - 1
+        at = (self.keys[units] & np.uint64(last)).astype(np.int64)
+        while len(units):
+            free = self.unit[at] < 0
+            self.unit[at[free]] = units[free]
+            done = self.unit[at] == units
+            self.table[at[done]] = self.keys[units[done]]
+            units, at = units[~done], (at[~done] + 1) & last
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Adds units that are not known, by hash, with their ids."""
+        a, b = self.known, self.known + len(keys)
+        self.keys, self.begin = _grown(self.keys, b), _grown(self.begin, b + 1)
+        self.keys[a:b] = keys
+        start = int(self.begin[a])
+        np.cumsum(count, out=self.begin[a + 1 : b + 1])
+        self.begin[a + 1 : b + 1] += start
+        self.flat = _grown(self.flat, start + len(ids))
+        self.flat[start : start + len(ids)] = ids
+        self.known = b
+        if 3 * b > 2 * len(self.table):
+            size = 1 << (3 * b // 2).bit_length()
+            self.table, self.unit = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+            a = 0
+        self._place(np.arange(a, b, dtype=np.int32))
+
+    def _pieces(self, tokenizer, runs: list[str], size: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of runs of pieces and how many each piece has; encoded many at a time, as the last id of each says that it ends a word."""
         flat, count = [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+        for run, n, e in zip(runs, size, tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.uint16)
             stops = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(stops) != len(run):
-                each = [np.array(x.ids, dtype=np.uint16) for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+            if len(stops) != n:
+                each = [np.array(x.ids, dtype=np.uint16) for x in tokenizer.encode_batch_fast(run.split(" "), add_special_tokens=False)]
                 ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
             flat.append(ids)
             count.append(np.diff(stops, prepend=0))
         return np.concatenate(flat), np.concatenate(count)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Adds words, given by ascending hashes and as text."""
-        number: dict[str, int] = {}
-        owner, piece = [], []
-        for i, t in enumerate(texts):
-            for x in (t,) if t.isalpha() else _PIECE.findall(t):
-                owner.append(i)
-                piece.append(number.setdefault(x, len(number)))
-        flat, size = self._pieces(list(number))
-        begins = np.cumsum(size) - size
-        own = size[piece]
-        stop = np.cumsum(own)
-        ids = flat[np.repeat(begins[piece] - (stop - own), own) + np.arange(int(own.sum()))]
-        count = np.bincount(owner, own, len(texts)).astype(np.int32)
-        begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
-        self.flat = np.concatenate([self.flat, ids])
-
-    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        starts, ends, first = K.words(data, offsets)
-        h = K.hashes(data, starts, ends)
-        keys, where, which = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        fresh = np.ones(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        fresh[inside] = self.keys[at[inside]] != keys[inside]
-        if fresh.any():
-            if len(self.keys) > CACHE:
-                self._forget()
-                fresh[:] = True
-            new = where[fresh]
-            raw = data.tobytes()
-            self._learn(keys[fresh], [raw[a:b].decode("utf-8").lower() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        count = self.count[at][which].astype(np.int64)
-        stop = np.cumsum(count)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self.flat[np.repeat(self.begin[at][which] - (stop - count), count) + np.arange(total)]
-        bounds = np.concatenate(([0], stop))[first]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    def _learn(self, keys: np.ndarray, text: np.ndarray, room: np.ndarray, kind: np.ndarray) -> None:
+        """Adds distinct units that are not known: hashes, bytes with a space behind each unit, how many each has, and kinds."""
+        plain = (kind == 1) | (kind == 2) | (kind == 4)
+        count = int(plain.sum())
+        if count:
+            bounds = np.append(0, np.cumsum(room[plain]))
+            bounds = [*bounds[:-1:RUN].tolist(), int(bounds[-1])]
+            chars = _CHAR[text[np.repeat(plain, room)]].tobytes().decode("utf-16-le")
+            runs = [chars[a : b - 1] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            self._add(keys[plain], *self._pieces(self.merges, runs, [min(RUN, count - i) for i in range(0, count, RUN)]))
+        if count < len(keys):
+            number: dict[str, int] = {}
+            owner, piece = [], []
+            for i, x in enumerate(text[np.repeat(~plain, room)].tobytes().decode("utf-8").lower().split(" ")[:-1]):
+                for y in _PIECE.findall(x):
+                    owner.append(i)
+                    piece.append(number.setdefault(y, len(number)))
+            pieces = list(number)
+            split = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)]
+            flat, size = self._pieces(self.tokenizer, [" ".join(x) for x in split], [len(x) for x in split])
+            own = size[piece]
+            stop = np.cumsum(own)
+            ids = flat[np.repeat((np.cumsum(size) - size)[piece] - (stop - own), own) + np.arange(int(own.sum()))]
+            self._add(keys[~plain], ids, np.bincount(owner, own, len(keys) - count).astype(np.int64))
+
+    def _ids(self, slices: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """Ids of each text of the slices (bytes, offsets); what is new in them is learnt at once."""
+        if self.known > CACHE:
+            self._forget()
+        held, fresh = [], []
+        for data, offsets in slices:
+            starts, ends, first, classes = units(data, offsets)
+            h = K.hashes(data, starts, ends)
+            unit = self._find(h)
+            at = np.flatnonzero(unit < 0)
+            held.append((first, unit, at, h[at]))
+            if len(at):
+                keys, where = np.unique(h[at], return_index=True)
+                fresh.append((keys, *_joined(data, classes, starts[at[where]], ends[at[where]])))
+        if fresh:
+            keys, text, room, kind = (np.concatenate(x) for x in zip(*fresh, strict=True))
+            new = np.zeros(len(keys), dtype=bool)
+            new[np.unique(keys, return_index=True)[1]] = True
+            self._learn(keys[new], text[np.repeat(new, room)], room[new], kind[new])
+        for first, unit, at, h in held:
+            unit[at] = self._find(h)
+            begin = self.begin[unit]
+            count = self.begin[unit + 1] - begin
+            stop = np.append(0, np.cumsum(count))
+            ids = self.flat[np.repeat(begin - stop[:-1], count) + np.arange(stop[-1])]
+            bounds = stop[first].tolist()
+            yield from (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of an Arrow column, END appended."""
-        out: list[np.ndarray] = []
+        out: list[np.ndarray] = [None] * len(column)
         end = np.array([END], dtype=np.uint32)
+        slices, rows = [], []
         for i, j, data, offsets in K.text_slices(column):
             odd = _ODD[data]
             two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)) | (data[:-1] == 60) & (data[1:] == 124)
             odd[:-1] |= two
             seen = np.concatenate(([0], np.cumsum(odd)))[offsets]
-            whole = np.flatnonzero((seen[1:] > seen[:-1]) | (not self.split))
-            ids = self._slice(data, offsets) if not len(whole) else [None] * (j - i)
-            if len(whole):
-                rest = np.setdiff1d(np.arange(j - i), whole)
+            whole = (seen[1:] > seen[:-1]) | (not self.split)
+            if not whole.any():
+                slices.append((data, offsets))
+                rows.extend(range(i, j))
+                continue
+            rest = np.flatnonzero(~whole)
+            if len(rest):
                 parts = [data[offsets[k] : offsets[k + 1]] for k in rest]
-                if len(rest):
-                    for k, x in zip(rest, self._slice(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))), strict=True):
-                        ids[k] = x
-                texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8") for k in whole]
-                for k, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    ids[k] = np.array(e.ids, dtype=np.uint32)
-            out.extend(np.concatenate((x.astype(np.uint32), end)) for x in ids)
-        return out
+                slices.append((np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))))
+                rows.extend((i + rest).tolist())
+            whole = np.flatnonzero(whole)
+            texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8") for k in whole]
+            for k, e in zip(whole.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                out[i + k] = np.array(e.ids, dtype=np.uint32)
+        for k, x in zip(rows, self._ids(slices), strict=True):
+            out[k] = x
+        return [np.concatenate((x.astype(np.uint32), end)) for x in out]
 
 
 _encoders: dict[str | None, Encoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
-    """One in each worker process."""
+    """One in each worker process; tasks have a core each, where the tokenizer's threads would only add to the work."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -175,7 +301,8 @@ class Index:
         mean = max(1.0, lengths.mean()) if n else 1.0
         weight = (idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean)))).astype(np.float32)
         self.terms, self.shared = term, df[term] > 1
-        order = np.argsort(term, kind="stable")
+        # Of 16 bits, numpy sorts by digits.
+        order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.docs, self.scores = doc[order], weight[order]
         self.start = np.zeros(len(df) + 1, dtype=np.int64)
         np.cumsum(df, out=self.start[1:])
