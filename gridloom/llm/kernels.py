@@ -7,7 +7,7 @@ follows (shingles, minhashes, fingerprints) is numpy over those hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,3 +182,21 @@ def list_column(values: np.ndarray, counts) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).view(np.int64)))
+
+
+def sparing(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """run (of one table or two), which then gives the memory that Arrow keeps for later back: an idle worker would hold it for the next stages too."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return one if run.__code__.co_argcount == 1 else two

@@ -49,23 +49,26 @@ _DOCS, _IDS, _REPLY = 0, 1, 2
 def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The n-gram of each byte with those before it in its own document, as a number; zeros stand before a document."""
     pad = ORDER - 1
-    place = np.arange(len(data)) + pad * (1 + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
-    s = np.zeros(len(data) + pad * len(offsets), dtype=np.uint8)
-    s[place] = data
-    two = (s[:-1].astype(np.int64) << 8) | s[1:]
-    return ((s[:-4].astype(np.int64) << 32) | (two[1:-2] << 16) | two[3:])[place - pad]
+    own = np.ones(len(data) + pad * (len(offsets) - 1), dtype=bool)
+    own[(offsets[:-1] + pad * np.arange(len(offsets) - 1))[:, None] + np.arange(pad)] = False
+    s = np.zeros(len(own), dtype=np.uint8)
+    s[own] = data
+    out = s.astype(np.int64)
+    for k in range(1, ORDER):
+        out[k:] |= s[:-k].astype(np.int64) << 8 * k
+    return out[own]
 
 
 def pieces(column: pa.Array):
     """(row of each byte, n-gram of each byte) in pieces of bounded size; a long text takes several."""
     for i, j, data, offsets in K.text_slices(column, _PIECE):
         if j - i > 1:
-            yield i + np.repeat(np.arange(j - i), np.diff(offsets)), codes(data, offsets)
+            yield np.repeat(np.arange(i, j, dtype=np.int32), np.diff(offsets)), codes(data, offsets)
             continue
         for a in range(0, len(data), _PIECE):
             lead = min(a, ORDER - 1)
             part = codes(data[a - lead : a + _PIECE], np.array([0, min(len(data) - a, _PIECE) + lead]))[lead:]
-            yield np.full(len(part), i), part
+            yield np.full(len(part), i, dtype=np.int32), part
 
 
 def shards_of(code: np.ndarray) -> np.ndarray:
@@ -153,8 +156,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     """n-grams with counts, some twice -> in order, each once."""
     if not parts:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    code, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-    return code, np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64)
+    code = np.concatenate([x for x, _ in parts])
+    if not len(code):
+        return code, np.zeros(0, dtype=np.int64)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[first], np.add.reduceat(np.concatenate([n for _, n in parts])[order], first)
 
 
 def levels(code: np.ndarray, count: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -249,7 +257,7 @@ def _counted(packed: DataFrame) -> DataFrame:
                     rows.append((s, block, f, int(here.sum()), _numbers(code[here]), int(seen.sum()), _numbers(code[seen]), _numbers(count[seen])))
         return pa.table([pa.array([r[i] for r in rows], x.type) for i, x in enumerate(kinds)], schema=kinds)
 
-    return packed.groupBy("block").applyInArrow(run, "shard long, block long, fold int, n long, codes binary, m long, trusted binary, counts binary")
+    return packed.groupBy("block").applyInArrow(K.sparing(run), "shard long, block long, fold int, n long, codes binary, m long, trusted binary, counts binary")
 
 
 def _summed(found: DataFrame) -> DataFrame:
@@ -261,7 +269,7 @@ def _summed(found: DataFrame) -> DataFrame:
         return pa.table({k: pa.array(np.full(len(code), table.column(k)[0].as_py()), t) for k, t in (("fold", pa.int32()), ("shard", pa.int64()))} | {"code": code, "c": c})
 
     parts = found.where("m > 0").select("fold", "shard", "m", "trusted", "counts", F.expr(f"block div {GROUP}").alias("part"))
-    return parts.groupBy("part", "fold", "shard").applyInArrow(run, "fold int, shard long, code long, c long").groupBy("fold", "shard", "code").agg(F.sum("c").alias("c"))
+    return parts.groupBy("part", "fold", "shard").applyInArrow(K.sparing(run), "fold int, shard long, code long, c long").groupBy("fold", "shard", "code").agg(F.sum("c").alias("c"))
 
 
 def _statistics(counts: DataFrame) -> list[tuple[dict[int, list[float]], np.ndarray]]:
@@ -276,7 +284,7 @@ def _statistics(counts: DataFrame) -> list[tuple[dict[int, list[float]], np.ndar
         at = np.concatenate((np.array([-1 - x for x, _ in seen], dtype=np.int64), pair))
         return pa.table({"fold": pa.array(np.full(len(at), table.column("fold")[0].as_py(), dtype=np.int32)), "at": at, "c": np.concatenate((np.array([n for _, n in seen], dtype=np.int64), times.astype(np.int64)))})
 
-    got = counts.groupBy("fold", "shard").applyInArrow(run, "fold int, at long, c long").groupBy("fold", "at").agg(F.sum("c").alias("c")).toArrow()
+    got = counts.groupBy("fold", "shard").applyInArrow(K.sparing(run), "fold int, at long, c long").groupBy("fold", "at").agg(F.sum("c").alias("c")).toArrow()
     fold, at, c = (got.column(k).to_numpy() for k in ("fold", "at", "c"))
     out = []
     for f in range(FOLDS):
@@ -306,7 +314,7 @@ def _replies(counts: DataFrame, requests: DataFrame, low, blocks: int) -> DataFr
     spread = counts.select((1 - F.col("fold")).alias("fold"), "shard", "code", "c", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))).alias("part"))
     asked = requests.select("fold", "shard", "block", "codes", "n", F.expr(f"cast(block div {GROUP} as int)").alias("part"))
     keys = ("part", "fold", "shard")
-    return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, _PACKED)
+    return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(K.sparing(run), _PACKED)
 
 
 def _scored(packed: DataFrame, columns: T.StructType) -> DataFrame:
@@ -319,7 +327,7 @@ def _scored(packed: DataFrame, columns: T.StructType) -> DataFrame:
             return empty.empty_table()
         parts = list(_encoded(batch)) if _column(batch, "text").nbytes <= HELD_BYTES else None  # of larger blocks they are made again
         again = lambda: parts if parts is not None else _encoded(batch)
-        asked = [_merged([(grams, np.zeros(len(grams))) for g, _, _, grams in again() if g == f])[0] for f in range(FOLDS)]
+        asked = [np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[grams for g, _, _, grams in again() if g == f]])) for f in range(FOLDS)]
         losses, shard = [np.zeros(len(code)) for code in asked], [shards_of(code) for code in asked]
         for at, data in replies:
             here = shard[at % FOLDS] == at // FOLDS
@@ -335,7 +343,7 @@ def _scored(packed: DataFrame, columns: T.StructType) -> DataFrame:
     added = T.StructType.fromDDL("_gl_nll double, _gl_n long, _gl_trusted boolean")
     schema = T.StructType([*columns.fields, *added.fields])
     empty = to_arrow_schema(schema)
-    return packed.groupBy("block").applyInArrow(run, schema)
+    return packed.groupBy("block").applyInArrow(K.sparing(run), schema)
 
 
 class Classifier:
