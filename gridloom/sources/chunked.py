@@ -49,6 +49,13 @@ def write_spec(store: Store, spec: ArraySpec, prefix: str = "") -> None:
         store.put(at + M.ATTRS_V2, json.dumps(spec.attributes, indent=2).encode())
 
 
+def _same_store(store: Store, spec: ArraySpec, path: str, backend: str | None, prefix: str = "") -> None:
+    """For tasks: a directory in which the array's metadata can't be seen isn't the driver's; its chunks would pass for absent."""
+    at = f"{prefix}/" if prefix else ""
+    if kind_of(path, backend) == "directory" and store.get(at + M.filename(spec.version)) is None:
+        raise ArrayError("store_not_shared", f"{path}: an executor doesn't see the array that the driver does")
+
+
 def pipeline(spec: ArraySpec) -> C.Pipeline:
     return C.Pipeline.parse(list(spec.codecs) or M.default_codecs(spec))
 
@@ -157,6 +164,7 @@ class ChunkReader(DataSourceReader):
 
     def read(self, partition: ChunkPartition):
         store, spec = open_store(self.path, self.backend), self.spec
+        _same_store(store, spec, self.path, self.backend, self.prefix)
         held: tuple[str, dict] | None = None
         for index in partition.indices(spec.shard):
             key, inner = chunk_place(spec, index)
@@ -192,7 +200,7 @@ class ChunkedSource(DataSource):
 
 def _reachable(spark: SparkSession, path: str, backend: str | None) -> None:
     """A directory of one machine isn't one store on a cluster: its executors would write and read each their own."""
-    if kind_of(path, backend) == "directory" and spark.sparkContext.master.split("[")[0] != "local" and not path.startswith("file://"):
+    if kind_of(path, backend) == "directory" and spark.sparkContext.master.split("[")[0] != "local" and not path.startswith("file:/"):
         raise ArrayError("local_store_on_cluster", f"{path}: name a file system that all executors share, or file:// for one mounted on all of them")
 
 
@@ -249,13 +257,15 @@ def write(cells: DataFrame, spec: ArraySpec, path: str, backend: str | None = No
     def put(table: pa.Table) -> pa.Table:
         key, data = encode(table)
         if local:
-            open_store(path, backend).put(key, data)
+            here = open_store(path, backend)
+            _same_store(here, spec, path, backend, prefix)
+            here.put(key, data)
             return pa.table({"key": [key], "bytes": pa.array([len(data)], pa.int64()), "data": pa.array([None], pa.binary())})
         return pa.table({"key": [key], "bytes": pa.array([len(data)], pa.int64()), "data": pa.array([data], pa.binary())})
 
     done = wanted.groupBy(*[f"s{i}" for i in range(spec.ndim)]).applyInArrow(put, "key string, bytes long, data binary")
     rows = []
-    for r in done.toLocalIterator():
+    for r in done.drop("data").collect() if local else done.toLocalIterator():  # an iterator would run one task after the other
         if not local:
             store.put(r.key, bytes(r.data))
         rows.append((r.key, r.bytes))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,4 +15,6 @@ def folder(spark: SparkSession, name: str) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)  # a path without a scheme is one of the default file system
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"{re.sub('^file:/+', 'file:///', base).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -25,11 +25,16 @@ class Store(Protocol):
     def exists(self) -> bool: ...
 
 
+def local_path(path: str) -> Path:
+    """The path in a file URI, which Hadoop writes with one slash and others with three."""
+    return Path(path.removeprefix("file://").removeprefix("file:"))
+
+
 class DirectoryStore:
     """Files below a directory; a write replaces a file at once, so readers see the old or the new one."""
 
     def __init__(self, path: str):
-        self.root = Path(path.removeprefix("file://"))
+        self.root = local_path(path)
 
     def get(self, key: str) -> bytes | None:
         try:
@@ -68,7 +73,7 @@ class ZipStore:
     """A zip archive; writes append, and the last entry of a name counts."""
 
     def __init__(self, path: str):
-        self.path = Path(path.removeprefix("file://"))
+        self.path = local_path(path)
 
     def get(self, key: str) -> bytes | None:
         if not self.path.exists():
