@@ -13,7 +13,7 @@ from gridloom.sources import chunked
 from gridloom.sources import store as stores
 from gridloom.spec import ArrayError, ArraySpec
 
-QUERIES = ["source_convert", "source_list_chunks", "source_scan_pruned", "source_scan_v2"]
+QUERIES = ["source_convert", "source_list_chunks", "source_scan_pruned", "source_scan_v2", "source_scan_v3_sharded"]
 
 RUN = """
 import sys
