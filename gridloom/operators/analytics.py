@@ -76,9 +76,15 @@ def arg_extremes(cells: DataFrame, at: str) -> DataFrame:
 
 
 def correlation(a: DataFrame, b: DataFrame, on: list[str], *by: str) -> DataFrame:
-    """Pearson correlation of two arrays over common coordinates, for each of ``by``."""
+    """Pearson correlation of two arrays over common coordinates, for each of ``by``; not a number where either is constant, null without a pair of values.
+
+    F.corr divides by zero there, which is an error in ANSI mode, also for groups that a later filter drops.
+    """
     both = a.withColumnRenamed("value", "x").join(b.withColumnRenamed("value", "y"), on)
-    return both.groupBy(*by).agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    x, y = (F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col(c)) for c in ("x", "y"))
+    got = both.groupBy(*by).agg(F.covar_pop("x", "y").alias("_c"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("_s"), F.count(F.lit(1)).alias("n"))
+    r = F.when(F.col("_s") == 0, F.lit(float("nan"))).otherwise(F.try_divide("_c", "_s"))
+    return got.select(*by, r.alias("r"), "n")
 
 
 def zscore(cells: DataFrame, *by: str) -> DataFrame:
